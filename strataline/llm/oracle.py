@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strataline.llm.backoff_lm import BACKOFF, MIN_PAIR
 from strataline.llm.host_rules import HOST_LIMIT
 
 OP6 = rf"""
@@ -36,5 +37,51 @@ FROM b JOIN verdicts ON b.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+OP3 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS words FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'
+), r AS (
+  SELECT conv_id, perspective, turn, speaker, words,
+         CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role
+  FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c
+), h AS (
+  SELECT *, CASE WHEN chat_role = 'user' THEN speaker END AS name,
+         '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r
+), s AS (
+  SELECT *, head || words || '<|im_end|>' || chr(10) AS segment FROM h
+), o AS (
+  SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, words ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_char FROM s
+)
+SELECT conv_id, perspective, turn, chat_role, name, segment, end_char - length(segment) AS start_char, end_char,
+       CASE WHEN chat_role = 'assistant' THEN end_char - length(segment) + length(head) END AS loss_from,
+       CASE WHEN chat_role = 'assistant' THEN end_char - 1 END AS loss_to
+FROM o
+"""
+
+OP10 = rf"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+), p AS (
+  SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM w
+), c1 AS (
+  SELECT w, count(*) AS n FROM w GROUP BY w
+), c2 AS (
+  SELECT u, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY u, w
+), total AS (
+  SELECT count(*) AS n FROM w
+), s AS (
+  SELECT p.doc_id, coalesce(c2.n, 0) >= {MIN_PAIR} AS seen,
+         CASE WHEN coalesce(c2.n, 0) >= {MIN_PAIR} THEN ln(c2.n) - ln(a.n) ELSE CASE WHEN p.u IS NULL THEN 0 ELSE ln({BACKOFF}) END + ln(b.n) - ln(total.n) END AS value
+  FROM p JOIN c1 AS b ON b.w = p.w LEFT JOIN c1 AS a ON a.w = p.u LEFT JOIN c2 ON c2.u = p.u AND c2.w = p.w, total
+), d AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (NOT seen) AS alone, sum(value) AS value FROM s GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(alone, 0) AS BIGINT) AS n_backoff, round(coalesce(value, 0), 6) AS log_score, round(value / n, 6) AS mean_log
+FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_host_rules": OP6}
+    return {"op3_perspectives": OP3, "op6_host_rules": OP6, "op10_backoff_lm": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import host_rules, html_consensus, knn_quality, langid, mixing, packing, simhash
+from strataline.llm import backoff_lm, chat, host_rules, html_consensus, knn_quality, langid, mixing, packing, simhash
 from strataline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents"))
 
 
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff_lm.scored(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "n_backoff", F.round("log_score", 6).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op4_mixing, op5_packing, op6_host_rules, op7_html_consensus, op8_knn_quality, op9_langid)}
+    return {f.__name__: f for f in (op1_simhash, op3_perspectives, op4_mixing, op5_packing, op6_host_rules, op7_html_consensus, op8_knn_quality, op9_langid, op10_backoff_lm)}
