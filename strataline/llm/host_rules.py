@@ -46,19 +46,31 @@ def covered(windows: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the base measures and `base_failed`."""
+    """`docs` with the base measures and `base_failed`.
+
+    The measures are one struct over a bound array of words: however plans move or repeat the expression, no lambda splits the text again.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("_words", words_of(F.col(text))).withColumns(
+
+    def measures(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)).cast("long").alias("word_chars"),
+            repeated_words(words).alias("n_repeat_words"),
+        )
+
+    bound = F.get(F.transform(F.array(words_of(F.col(text))), measures), F.lit(0))
+    out = docs.withColumn("_m", bound).withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.coalesce(F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)), F.lit(0)).cast("long"),
+            "n_words": F.col("_m.n_words"),
+            "word_chars": F.col("_m.word_chars"),
             "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), F.lit(0)).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")),
+            "n_repeat_words": F.col("_m.n_repeat_words"),
         }
     )
-    return out.drop("_words").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    return out.withColumn("base_failed", (F.col("_m.n_words") < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_m.n_words"))).drop("_m")
 
 
 def host_verdicts(measures: DataFrame, host: str, host_limit: float = HOST_LIMIT) -> DataFrame:

@@ -101,3 +101,25 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     placed, slots = laid_out(docs, **how)
     taken = schedule(placed, slots, how.get("max_epochs", 2)).groupBy("src_no", "place").agg(F.sum("length").alias("taken"))
     return placed.join(taken, ["src_no", "place"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space kept."""
+    return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n.cast("int")), "")
+
+
+def sampled(docs: DataFrame, *, doc: str = "doc_id", source: str = "source", text: str = "text", n_chars: str | None = "n_chars", **how) -> DataFrame:
+    """The mix itself: the rows of `docs`, once an epoch that takes words of them, cut at the last word taken.
+
+    Rows are told apart by their id and, among equal ids, by a rank over their text's hash, so repeated rows stay separate.
+    """
+    order = Window.partitionBy(doc).orderBy(F.xxhash64(text, source), F.length(text))
+    rows = docs.withColumn("_row", F.struct(F.col(doc).alias("id"), F.row_number().over(order).alias("nth")))
+    placed, slots = laid_out(rows.select("_row", source, text), doc="_row", source=source, text=text, **how)
+    taken = schedule(placed, slots, how.get("max_epochs", 2)).groupBy("doc_id", "epoch").agg(F.sum("length").alias("_taken"))
+    taken = taken.join(placed.select("doc_id", "size"), "doc_id").select(F.col("doc_id").alias("_key"), "_taken", F.col("size").alias("_size"))
+    out = rows.join(taken, F.col("_row").eqNullSafe(F.col("_key")))
+    out = out.withColumn(text, F.when(F.col("_taken") < F.col("_size"), first_words(F.col(text), F.col("_taken"))).otherwise(F.col(text)))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
+    return out.select(*docs.columns)

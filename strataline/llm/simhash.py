@@ -83,6 +83,13 @@ def dealt(rows: DataFrame, bits: int, k: int) -> tuple[DataFrame, int]:
     return out.select("fp", F.col("part.key").alias("key"), F.col("part.rest").alias("rest")), bits - min(widths)
 
 
+def in_cells(rows: DataFrame, cell: int) -> DataFrame:
+    """Rows of buckets of n codes, dealt so that every pair of a bucket's codes meets in some cell of about 2 x cell codes."""
+    grid = rows.withColumn("cells", F.ceil(F.col("n") / cell)).withColumn("own", F.pmod(F.xxhash64("fp", F.lit("cell")), F.col("cells")))
+    grid = grid.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    return grid.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("cells", "own", "other", "n")
+
+
 def buckets(codes: DataFrame, k: int, cell: int = CELL, levels: int = LEVELS) -> DataFrame:
     """(key, fp): codes by bucket; any two codes within k bits share a key, and a key has at most about 2 x cell codes."""
     rows, bits, done = codes.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), BITS, []
@@ -97,9 +104,7 @@ def buckets(codes: DataFrame, k: int, cell: int = CELL, levels: int = LEVELS) ->
         if level < levels - 1:
             rows = cut(rows.drop("n"))
         else:
-            cells = F.ceil(F.col("n") / cell)
-            grid = rows.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("fp", F.lit("cell")), F.col("cells"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-            done.append(grid.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp"))
+            done.append(in_cells(rows, cell).select("key", "fp"))
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -115,16 +120,19 @@ def groups_of(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def index_links(fps: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same group within k bits: the hierarchical index of Gray-sorted groups, joined with itself."""
+    """Pairs of rows of the same group within k bits: the hierarchical index of Gray-sorted groups, joined with itself.
+
+    `fps` has a row a code and a column for each 64 bits.
+    """
     counts = np.diff(np.append(starts, len(fps)))
-    levels = [(fps, np.full(len(fps), ~np.uint64(0)), None, None)]  # value, mask of shared bits, children's start and end
+    levels = [(fps, np.full(fps.shape, ~np.uint64(0)), None, None)]  # value, mask of shared bits, children's start and end
     s, c = starts, counts
     while c.max(initial=0) > 1:
         value, mask = levels[-1][:2]
         run = groups_of(s, c)
         size = np.diff(np.append(run, len(value)))
         first = value[run]
-        shared = np.bitwise_and.reduceat(mask & ~(value ^ np.repeat(first, size)), run)
+        shared = np.bitwise_and.reduceat(mask & ~(value ^ np.repeat(first, size, axis=0)), run, axis=0)
         levels.append((first & shared, shared, run, run + size))
         per = -(-c // FAN)
         s, c = np.cumsum(per) - per, per
@@ -148,7 +156,7 @@ def index_links(fps: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray
         keep = (a < b) if level == 1 else (i[pair] != j[pair]) | (a <= b)
         a, b = a[keep], b[keep]
         value, mask = levels[level - 1][:2]
-        near = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= k
+        near = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]).sum(axis=1, dtype=np.int64) <= k
         stack.append((level - 1, a[near], b[near]))
     return (np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -178,34 +186,107 @@ def links(codes: DataFrame, k: int = K, cell: int = CELL) -> DataFrame:
 
     def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        a, b = index_links(fps, starts, k)
+        a, b = index_links(fps[:, None], starts, k)
         label = forest(len(fps), a, b)
         moved = np.flatnonzero(label != np.arange(len(fps)))
         signed = fps.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[label[moved]])], ["src", "dst"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if len(keys) >= TREE_ROWS:
-                at = int(np.searchsorted(keys == keys[-1], True)) if keys[0] != keys[-1] else 0  # the last key may go on
-                if at:
-                    yield solve(keys[:at], fps[:at])
-                    keys, fps = keys[at:], fps[at:]
-        if len(keys):
-            yield solve(keys, fps)
+    return rows.mapInArrow(lambda batches: whole_groups(batches, lambda column: column.to_numpy(zero_copy_only=False).view(np.uint64), solve), "src long, dst long")
 
-    return rows.mapInArrow(run, "src long, dst long")
+
+def whole_groups(batches: Iterator[pa.RecordBatch], read, solve) -> Iterator[pa.RecordBatch]:
+    """Runs `solve(keys, codes)` on stretches of sorted batches that end with a group; `read` makes codes of the second column."""
+    keys, codes = np.zeros(0, np.int64), None
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
+        more = read(batch.column(1))
+        codes = more if codes is None else np.concatenate([codes, more])
+        if len(keys) >= TREE_ROWS and keys[0] != keys[-1]:
+            at = int(np.searchsorted(keys == keys[-1], True))  # the last group may go on
+            yield solve(keys[:at], codes[:at])
+            keys, codes = keys[at:], codes[at:]
+    if len(keys):
+        yield solve(keys, codes)
 
 
 def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, k: int = K, seed: int = SEED, cell: int = CELL) -> DataFrame:
     """(id, fp, component_id): each row's fingerprint and the smallest id that links lead to."""
     fps = cut(fingerprints(docs, doc, text, shingle, seed))
     codes = cut(fps.groupBy("fp").agg(F.min("id").alias("smallest")))
-    parts = cut(connected_components(links(codes, k, cell)))
+    parts = cut(connected_components(cut(links(codes, k, cell))))
     classes = codes.join(parts, codes.fp == parts.node, "left").select("fp", "smallest", F.coalesce("component", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id")).select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("root"), "component_id")
     classes = cut(classes.join(smallest, "root").select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("code"), "component_id"))
     return fps.join(classes, F.col("fp") == F.col("code")).select("id", "fp", "component_id")
+
+
+WIDE_WORDS, WIDE_BAND = 8, 2
+
+
+def wide_fingerprint_of(text: str | None, shingle: int, seed: int) -> bytes:
+    """A fingerprint of 64 x WIDE_WORDS bits, little-endian; every shingle's hash is stretched to that many bits."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * WIDE_WORDS)
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    first, last = np.concatenate(([0], ends[:-1] + 1)), ends[min(shingle, len(words)) - 1 :]
+    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(first.tolist(), last.tolist(), strict=False)), np.uint64, len(last))
+    counts = np.zeros(64 * WIDE_WORDS, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of up to 255 bits fit a byte
+        h = hashes[at : at + 255, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((h ^ (h >> np.uint64(31))).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def bits_at(similarity: float) -> int:
+    """Differing bits expected of two equally long texts of this Jaccard similarity: the angle between their shingle vectors."""
+    import math
+
+    return round(64 * WIDE_WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi) + 2
+
+
+def similar_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> DataFrame:
+    """(id, component_id) at a Jaccard similarity of word shingles that 64 bits can't tell apart.
+
+    Fingerprints have 512 bits, whose distance puts the similarity within about 0.03. Codes are dealt by 16-bit bands, of which two texts of
+    similarity 0.8 share one with probability 0.9 and two of 0.9 with 0.998; in a bucket the same hierarchical index finds the links.
+    """
+    kind, k = docs.schema[doc].dataType.simpleString(), bits_at(similarity)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(1)], pa.binary())], ["id", "fp"])
+
+    fps = cut(docs.select(doc, text).mapInArrow(prints, f"id {kind}, fp binary").withColumn("node", F.xxhash64("fp")))
+    codes = cut(fps.groupBy("node", "fp").agg(F.min("id").alias("smallest")))
+    bands = [F.struct(F.lit(j).alias("j"), F.substring("fp", 1 + WIDE_BAND * j, WIDE_BAND).alias("v")) for j in range(8 * WIDE_WORDS // WIDE_BAND)]
+    rows = codes.select("fp", F.explode(F.array(*bands)).alias("band")).select("fp", F.xxhash64("band.j", "band.v").alias("key"))
+    large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)).withColumn("key", F.col("key").bitwiseXOR(F.lit(0).cast("long")))
+    if large.take(1):
+        rows = rows.join(large, "key", "left_anti").select("fp", "key").unionByName(in_cells(rows.join(large, "key"), cell).select("fp", "key"))
+    rank = gray_rank(F.conv(F.hex(F.substring("fp", 1, 7)), 16, 10).cast("long"))
+    rows = rows.withColumn("rank", rank).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "rank").select("key", "fp")
+
+    def read(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE_WORDS)
+
+    def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = index_links(fps, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), k)
+        label = forest(len(fps), a, b)
+        moved = np.flatnonzero(label != np.arange(len(fps)))
+        pick = lambda at: pa.array([fps[i].tobytes() for i in at], pa.binary())
+        return pa.RecordBatch.from_arrays([pick(moved), pick(label[moved])], ["a", "b"])
+
+    edges = rows.mapInArrow(lambda batches: whole_groups(batches, read, solve), "a binary, b binary").select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))
+    parts = cut(connected_components(cut(edges.distinct())))
+    classes = codes.join(parts, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id")).select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("root"), "component_id")
+    classes = cut(classes.join(smallest, "root").select(F.col("node").bitwiseXOR(F.lit(0).cast("long")).alias("code"), "component_id"))
+    return fps.join(classes, F.col("node") == F.col("code")).select("id", "component_id")
