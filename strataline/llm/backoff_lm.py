@@ -35,6 +35,22 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def squeezed(a: np.ndarray) -> bytes:
+    """Whole numbers as planes of equal byte places, compressed; for sorted ones take differences first."""
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(a).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def widened(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    planes = np.frombuffer(pa.decompress(b[4:], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def differences(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=np.uint64(0))
+
+
 def pairs_of(words: np.ndarray, lengths: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes, places): first x kinds + second for every two neighbours of one document, and the place of the second."""
     inner = np.ones(len(words), bool)
@@ -75,9 +91,9 @@ def chunked(docs: DataFrame, doc: str, text: str, bits: int, chunk_words: int) -
             buckets = (h >> shift).astype(np.int64)
             cuts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(h) else np.zeros(0, np.int64)
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=False):
-                for name, value in zip(schema.names, (int(buckets[a]), what, chunk, int(buckets[a]), h[a:b].tobytes(), c[a:b].astype("<u4").tobytes()), strict=True):
+                for name, value in zip(schema.names, (int(buckets[a]), what, chunk, int(buckets[a]), squeezed(differences(h[a:b])), squeezed(c[a:b])), strict=True):
                     rows[name].append(value)
-        for name, value in zip(schema.names, (~chunk, LAYOUT, chunk, 0, at.astype("<u4").tobytes(), lengths_.astype("<u4").tobytes()), strict=True):
+        for name, value in zip(schema.names, (~chunk, LAYOUT, chunk, 0, squeezed(at), squeezed(lengths_)), strict=True):
             rows[name].append(value)
         n = len(rows["key"])
         offsets = pa.array([0] * n + [len(ids)], pa.int32())
@@ -112,13 +128,13 @@ def joined(bucket: pa.Table) -> pa.Table:
     for what in (WORDS, PAIRS):
         rows = np.flatnonzero(kinds == what)
         if len(rows):
-            hashes = [np.frombuffer(bucket["hashes"][int(r)].as_py(), "<u8") for r in rows]
-            own = np.concatenate([np.frombuffer(bucket["counts"][int(r)].as_py(), "<u4") for r in rows])
+            hashes = [np.cumsum(widened(bucket["hashes"][int(r)].as_py()), dtype=np.uint64) for r in rows]
+            own = np.concatenate([widened(bucket["counts"][int(r)].as_py()) for r in rows])
             _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
             total = np.bincount(inverse, weights=own)[inverse]
             at = 0
             for r, h in zip(rows, hashes, strict=True):
-                counts[r] = total[at : at + len(h)].astype("<u8").tobytes()
+                counts[r] = squeezed(total[at : at + len(h)])
                 at += len(h)
     echoed = [bucket["hashes"][i].as_py() if kinds[i] == WORDS else None for i in range(bucket.num_rows)]
     out = bucket.set_column(0, "key", bucket["chunk"]).set_column(4, "hashes", pa.array(echoed, pa.binary()))
@@ -129,10 +145,11 @@ def scores_of(min_pair: int, backoff: float):
     def run(chunk: pa.Table) -> pa.Table:
         kinds, buckets = chunk["kind"].to_numpy(), chunk["bucket"].to_numpy()
         rows = lambda what: [int(r) for r in np.lexsort((buckets, kinds != what))[: int((kinds == what).sum())]]
-        gathered = lambda what, name: np.concatenate([np.frombuffer(chunk[name][r].as_py(), "<u8") for r in rows(what)] or [np.zeros(0, np.uint64)])
+        read = {"hashes": lambda b: np.cumsum(widened(b), dtype=np.uint64), "counts": widened}
+        gathered = lambda what, name: np.concatenate([read[name](chunk[name][r].as_py()) for r in rows(what)] or [np.zeros(0, np.uint64)])
         layout = rows(LAYOUT)[0]
-        at = np.frombuffer(chunk["hashes"][layout].as_py(), "<u4").astype(np.int64)
-        lengths = np.frombuffer(chunk["counts"][layout].as_py(), "<u4").astype(np.int64)
+        at = widened(chunk["hashes"][layout].as_py()).astype(np.int64)
+        lengths = widened(chunk["counts"][layout].as_py()).astype(np.int64)
         hashes, word_counts = gathered(WORDS, "hashes"), gathered(WORDS, "counts").astype(np.float64)
         kinds_n = np.uint64(max(1, len(hashes)))
         codes, places = pairs_of(at, lengths, int(kinds_n))
