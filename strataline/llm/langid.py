@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from strataline.llm.vectors import dense, fold, sample_order, sparse_features, unit_rows
 
-PER_LANGUAGE, SAMPLE, WIDTH, BLOCK = 1500, 12000, 4096, 256
+PER_LANGUAGE, SAMPLE, WIDTH, BLOCK = 1000, 12000, 4096, 256  # up to 1000, Spark ranks a language's rows before they move
 FOLDS, HELD_OUT = 4, 2
 # fixed values: ISO 639-1 codes by family
 FAMILIES = {
@@ -54,15 +54,16 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 150)
     """Weights and bias for labels -1 and 1: squared hinge with both classes weighted alike, by accelerated gradient steps."""
     n = len(x)
     weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))) / n
+    weight, y = weight.astype(np.float32), y.astype(np.float32)
     xb = np.hstack([x, np.ones((n, 1), np.float32)])
-    step = 1.0 / (1.0 + 2 * c * float((weight[:, None] * xb * xb).sum()))
-    w, v = np.zeros(xb.shape[1]), np.zeros(xb.shape[1])
+    step = np.float32(1.0 / (1.0 + 2 * c * float((weight * np.einsum("ij,ij->i", xb, xb)).sum())))
+    w, v = np.zeros(xb.shape[1], np.float32), np.zeros(xb.shape[1], np.float32)
     for k in range(rounds):
         gap = np.maximum(0, 1 - y * (xb @ v))
-        grad = v - 2 * c * (xb.T @ (weight * y * gap))
+        grad = v - 2 * np.float32(c) * ((weight * y * gap) @ xb)
         grad[-1] -= v[-1]
         new = v - step * grad
-        v, w = new + k / (k + 3) * (new - w), new
+        v, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w[:-1].astype(np.float32), float(w[-1])
 
 
