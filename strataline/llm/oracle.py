@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strataline.llm.backoff_lm import BACKOFF, MIN_PAIR
+from strataline.llm.bm25 import K1, TOP, B
 from strataline.llm.host_rules import HOST_LIMIT
 
 OP6 = rf"""
@@ -37,6 +38,24 @@ FROM b JOIN verdicts ON b.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+OP2 = rf"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w FROM documents
+), tf AS (
+  SELECT doc_id, w, count(*) AS tf FROM w GROUP BY ALL
+), dl AS (
+  SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id
+), g AS (
+  SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS average
+), df AS (
+  SELECT w, count(*) AS df FROM tf GROUP BY w
+), s AS (
+  SELECT q.doc_id AS query_id, tf.doc_id, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * {K1 + 1} / (tf.tf + {K1} * (1 - {B} + {B} * dl / average))), 9) AS score
+  FROM tf AS q JOIN df USING (w) JOIN tf ON tf.w = q.w JOIN dl ON dl.doc_id = tf.doc_id, g WHERE q.doc_id % 20 = 0 GROUP BY 1, 2
+)
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS place FROM s QUALIFY place <= {TOP}
+"""
+
 OP3 = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS words FROM conversations
@@ -84,4 +103,4 @@ FROM documents LEFT JOIN d USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_perspectives": OP3, "op6_host_rules": OP6, "op10_backoff_lm": OP10}
+    return {"op2_bm25": OP2, "op3_perspectives": OP3, "op6_host_rules": OP6, "op10_backoff_lm": OP10}

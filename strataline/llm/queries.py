@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import backoff_lm, chat, host_rules, html_consensus, knn_quality, langid, mixing, packing, simhash
+from strataline.llm import backoff_lm, bm25, chat, host_rules, html_consensus, knn_quality, langid, mixing, packing, simhash
 from strataline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = bm25.search(docs, docs.where(F.col("doc_id") % 20 == 0))
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
+
+
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotated(table(spark, sf_dir, "conversations"))
 
@@ -53,4 +59,4 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_perspectives, op4_mixing, op5_packing, op6_host_rules, op7_html_consensus, op8_knn_quality, op9_langid, op10_backoff_lm)}
+    return {f.__name__: f for f in (op1_simhash, op2_bm25, op3_perspectives, op4_mixing, op5_packing, op6_host_rules, op7_html_consensus, op8_knn_quality, op9_langid, op10_backoff_lm)}
