@@ -133,7 +133,11 @@ def fit(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (fold(F.col("_id"), FOLDS) != HELD_OUT))
     first = Window.partitionBy("_lang").orderBy(*sample_order(F.col("_id")))
-    ids = rows.select("_id", "_lang").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= per_language)
+    # only about three times as many rows of a language as are needed go to its task: those of smallest hash
+    counts = rows.groupBy(F.col("_lang").alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = F.shiftrightunsigned(sample_order(F.col("_id"))[0].bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 11) / F.lit(float(1 << 53))
+    few = rows.select("_id", "_lang").join(counts, F.col("_lang") == F.col("_name")).where(hashed * F.col("_n") < 3 * per_language + 50)
+    ids = few.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= per_language)
     ids = ids.orderBy("_nth", *sample_order(F.col("_id"))).limit(sample).select(F.col("_id").alias("_chosen")).distinct()
     at, values, langs = sparse_features(rows.join(F.broadcast(ids), F.col("_id") == F.col("_chosen")), "_text", "_lang", grams)  # at most `sample` ids
     return Tree(dense(at, values, WIDTH), langs) if langs else None
