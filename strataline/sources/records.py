@@ -125,7 +125,7 @@ def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def header_table(spark: SparkSession, path: str | list[str], columns: Sequence[str] = ()) -> DataFrame:
     """A tab-separated table with a header, all strings, nothing read as null; `columns` must be there."""
-    return require(normalised_header(spark.read.csv(path, sep="\t", header=True, quote="", nullValue="\u0000", emptyValue="", mode="DROPMALFORMED")), columns)
+    return require(normalised_header(spark.read.csv(path, sep="\t", header=True, quote="", nullValue="\u0000", emptyValue="", mode="DROPMALFORMED")), columns).na.fill("")
 
 
 def first_row_index(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
