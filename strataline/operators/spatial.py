@@ -102,3 +102,18 @@ def sampling_grid(facets: DataFrame, step: float, steps: int) -> DataFrame:
     """(facet, k, x, y, z): points along each facet's normal from its centre, `steps` inwards and outwards. `facets` has facet, centre, normal."""
     rows = facets.withColumn("k", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
     return rows.withColumn("p", G.offset(F.col("centre"), F.col("normal"), F.col("k") * step)).select("facet", "k", "p.x", "p.y", "p.z")
+
+
+def divided_facets(facets: DataFrame, max_area: float, corners: tuple[str, str, str] = ("pa", "pb", "pc")) -> DataFrame:
+    """Facets as parts of at most `max_area`: each side is cut into equal steps, which gives steps^2 triangles of equal area. Adds part, q1, q2, q3 and area."""
+    a, b, c = (F.col(k) for k in corners)
+    whole = G.triangle_area(a, b, c)
+    steps = F.greatest(F.lit(1), F.ceil(F.sqrt(whole / max_area))).cast("int")
+    rows = facets.withColumns({"_n": steps, "_area": whole}).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_j", F.explode(F.sequence(F.lit(0), 2 * (F.col("_n") - F.col("_i")) - 2)))
+    at = lambda i, j: G.point(*[a[k] + (b[k] - a[k]) * i / F.col("_n") + (c[k] - a[k]) * j / F.col("_n") for k in "xyz"])
+    i, j, odd = F.col("_i"), F.floor(F.col("_j") / 2), F.col("_j") % 2
+    up = F.struct(at(i, j).alias("q1"), at(i + 1, j).alias("q2"), at(i, j + 1).alias("q3"))
+    down = F.struct(at(i + 1, j).alias("q1"), at(i + 1, j + 1).alias("q2"), at(i, j + 1).alias("q3"))
+    rows = rows.withColumn("_q", F.when(odd == 0, up).otherwise(down))
+    part = (F.col("_i") * (2 * F.col("_n") - F.col("_i")) + F.col("_j")).cast("int").alias("part")
+    return rows.select(*facets.columns, part, "_q.q1", "_q.q2", "_q.q3", (F.col("_area") / (F.col("_n") * F.col("_n"))).alias("area"))
