@@ -22,6 +22,8 @@ from strataline.llm.vectors import dense, fold, sample_order, sparse_features, u
 
 PER_LANGUAGE, SAMPLE, WIDTH, BLOCK = 1000, 12000, 4096, 256  # up to 1000, Spark ranks a language's rows before they move
 FOLDS, HELD_OUT = 4, 2
+#: At most so many languages are learned, the most frequent ones.
+LANGUAGES = 200
 # fixed values: ISO 639-1 codes by family
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -134,9 +136,12 @@ def fit(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str =
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (fold(F.col("_id"), FOLDS) != HELD_OUT))
     first = Window.partitionBy("_lang").orderBy(*sample_order(F.col("_id")))
     # only about three times as many rows of a language as are needed go to its task: those of smallest hash
-    counts = rows.groupBy(F.col("_lang").alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["_lang"], (3.0 * per_language + 50) / r["_n"])])[F.col("_lang")]
     hashed = F.shiftrightunsigned(sample_order(F.col("_id"))[0].bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 11) / F.lit(float(1 << 53))
-    few = rows.select("_id", "_lang").join(counts, F.col("_lang") == F.col("_name")).where(hashed * F.col("_n") < 3 * per_language + 50)
+    few = rows.select("_id", "_lang").where(hashed < share)
     ids = few.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= per_language)
     ids = ids.orderBy("_nth", *sample_order(F.col("_id"))).limit(sample).select(F.col("_id").alias("_chosen")).distinct()
     at, values, langs = sparse_features(rows.join(F.broadcast(ids), F.col("_id") == F.col("_chosen")), "_text", "_lang", grams)  # at most `sample` ids
