@@ -30,7 +30,7 @@ VOTES_A_PAGE, MIN_SHARE = 3, 0.4
 BROADCAST_HOSTS = 100_000
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|head)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|math|iframe|object|canvas)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""",
     re.S | re.I,
 )
@@ -38,12 +38,12 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^
 # fixed values: element names of HTML by how they are read
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav aside footer form button select dialog menu textarea fieldset figcaption video audio".split())
+DROPPED = frozenset("nav aside footer form button select dialog menu textarea fieldset".split())
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
 BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup "
-    "share sharing social sidebar widget widgets related recommended recommendations menu navbar navigation nav breadcrumb breadcrumbs pagination pager comment comments commentlist respond reply replies disqus footer login search toolbar skip tags byline alert "
+    "share sharing social sidebar widget widgets related recommended recommendations menu navbar navigation nav breadcrumb breadcrumbs pagination pager comment comments commentlist respond reply replies disqus footer login search toolbar skip alert "
     "complementary contentinfo outbrain taboola teaser".split()
 )
 ARTICLE_WORDS = frozenset("article post entry story content main".split())
@@ -102,6 +102,8 @@ class Page:
                 continue
             if name in ("html", "body") and any(t == name for t, _ in stack):
                 continue
+            if name == "body" and stack[-1][0] == "head":
+                pop(len(stack) - 1)
             depth = 0
             ends = CLOSED_BY.get(name, ("p",) if name in BREAKS_P else ())
             while len(stack) > 1 and stack[-1][0] in ends:

@@ -316,10 +316,11 @@ def test_html_boilerplate_and_odd_pages(spark):
         "<aside>Aside</aside><div class='ad'>Buy</div><ul><li>One<li>Two</ul></article><section class='comments'><p>A comment that is very long and goes on and on, longer than the article itself by some way.</p></section></main>"
         "<div class=sidebar>Side</div><footer>Foot</footer>"
     )
-    rows = [(1, "http://a.example/1", page), (2, None, None), (3, "http://a.example/2", ""), (4, "http://b.example", "plain words only"), (5, "http://c.example", "<p>cut <b>off</b> &amp; in <a hre"), (1, "http://a.example/1", page)]
+    open_head = "<html><head><title>No</title><meta charset=utf-8><body><article><header><h1>H</h1></header><figure><figcaption>Caption</figcaption></figure><table><tr><td>a<td>b</table></article>"
+    rows = [(6, "http://d.example", open_head), (1, "http://a.example/1", page), (2, None, None), (3, "http://a.example/2", ""), (4, "http://b.example", "plain words only"), (5, "http://c.example", "<p>cut <b>off</b> &amp; in <a hre"), (1, "http://a.example/1", page)]
     out = html_consensus.extracted(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, path string")).collect()
     got = {r.page_id: r.text for r in out}
-    assert len(out) == 6 and got[1] == "Title & more\nFirst para with a link and <tags>.\nSecond para\nOne\nTwo"
+    assert len(out) == 7 and got[6] == "H\nCaption\na\nb" and got[1] == "Title & more\nFirst para with a link and <tags>.\nSecond para\nOne\nTwo"
     assert got[2] == got[3] == "" and got[4] == "plain words only" and got[5] == "cut off & in"
     assert all(r.n_chars == len(r.text) for r in out)
 
