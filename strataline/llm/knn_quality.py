@@ -108,13 +108,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
 
 def scored(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; with `keep` every column of `docs` and `score`, named `_score`."""
-    voter = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, doc=doc, text=text, label=label, sample=sample))
+    voter = docs.sparkSession.sparkContext.broadcast(vars(fit(docs, labels, doc=doc, text=text, label=label, sample=sample)))  # plain arrays
     columns = docs.columns if keep else [doc, text]
     place = columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema if keep or f.name == doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = voter.value
+        model = Voter.__new__(Voter)
+        vars(model).update(voter.value)
         for batch in batches:
             column, scores = batch.column(place), np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, BLOCK):

@@ -150,11 +150,15 @@ def fit(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str =
 
 def predicted(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
-    tree = docs.sparkSession.sparkContext.broadcast(fit(docs, doc=doc, text=text, lang=lang, per_language=per_language, sample=sample))
+    fitted = fit(docs, doc=doc, text=text, lang=lang, per_language=per_language, sample=sample)
+    tree = docs.sparkSession.sparkContext.broadcast(vars(fitted) if fitted else None)  # plain arrays and lists
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree.value
+        model = None
+        if tree.value is not None:
+            model = Tree.__new__(Tree)
+            vars(model).update(tree.value)
         for batch in batches:
             names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, BLOCK):
