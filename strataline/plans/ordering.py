@@ -28,15 +28,14 @@ def running(df: DataFrame, groups: Sequence[str], bucket: str, order: Sequence[C
 
     `bucket` must ascend with `order`. Empty input gives an empty result; null group keys form a group of their own.
     """
-    keys = [*groups, bucket]
-    inner = Window.partitionBy(*keys).orderBy(*order)
+    # one struct as the key: nulls in it are equal, and the join below finds the rows dealt out as the window left them
+    key = F.struct(*[F.col(g) for g in groups], F.col(bucket))
     amount = (F.lit(0) if value is None else F.coalesce(value, F.lit(0))).cast("long")
-    rows = df.withColumn("_amount", amount)
-    rows = rows.withColumns({"_rank": (F.row_number().over(inner) - 1).cast("long"), "_before": F.sum("_amount").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_amount")})
-    outer = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = df.withColumn("_amount", amount).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("_amount").alias("_sum"))
-    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.sum("_n").over(outer) - F.col("_n")).alias("_n0"), (F.sum("_sum").over(outer) - F.col("_sum")).alias("_sum0"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = rows.join(totals, same, "inner").withColumns({rank: F.col("_rank") + F.col("_n0"), before: F.col("_before") + F.col("_sum0")})
-    drop = ["_amount", "_rank", "_before", "_n0", "_sum0", *[f"_k{i}" for i in range(len(keys))]] + ([before] if value is None else [])
-    return joined.drop(*drop)
+    rows = df.withColumns({"_key": key, "_amount": amount})
+    inner = Window.partitionBy("_key").orderBy(*order)
+    ranked = rows.withColumns({"_rank": (F.row_number().over(inner) - 1).cast("long"), "_before": F.sum("_amount").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_amount")})
+    outer = (Window.partitionBy(*[f"_key.{g}" for g in groups]) if groups else Window.partitionBy(F.lit(0))).orderBy(f"_key.{bucket}").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.sum("_amount").alias("_sum"))
+    totals = totals.select(F.col("_key").alias("_of"), (F.sum("_n").over(outer) - F.col("_n")).alias("_n0"), (F.sum("_sum").over(outer) - F.col("_sum")).alias("_sum0"))
+    joined = ranked.join(totals, F.col("_key") == F.col("_of")).withColumns({rank: F.col("_rank") + F.col("_n0"), before: F.col("_before") + F.col("_sum0")})
+    return joined.drop("_key", "_of", "_amount", "_rank", "_before", "_n0", "_sum0", *([before] if value is None else []))
