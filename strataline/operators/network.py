@@ -88,7 +88,7 @@ def bfs_walk(edges: DataFrame, root, max_depth: int | None = None) -> DataFrame:
     """(node, parent, weight, depth): the breadth-first tree of a first-in-first-out walk from `root`.
 
     A node's parent is the earliest queued neighbour of the level before; children queue by weight falling, finite evalue rising (others last)
-    and id. `edges` has a, b, weight, evalue. A level is one join and one pre-aggregated minimum; its rows are materialised before the next.
+    and id. `edges` has a, b, weight, evalue. A level is one join, one pre-aggregated minimum and a range-partitioned sort; its rows are materialised before the next.
     """
     spark = edges.sparkSession
     kind = edges.schema["a"].dataType.simpleString()
@@ -102,8 +102,9 @@ def bfs_walk(edges: DataFrame, root, max_depth: int | None = None) -> DataFrame:
         reach = out.join(level.select(F.col("node").alias("src"), "ord"), "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
         best = F.min(F.struct(F.col("ord").alias("parent_ord"), (-F.col("weight")).alias("minus"), finite.alias("ev"), F.col("src").alias("parent"))).alias("best")
         found = reach.groupBy(F.col("dst").alias("node")).agg(best)
-        order = Window.orderBy("best.parent_ord", "best.minus", "best.ev", "node")
-        level = cut(found.select("node", F.col("best.parent").alias("parent"), (-F.col("best.minus")).alias("weight"), F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("ord")))
+        keys = ["best.parent_ord", "best.minus", "best.ev", "node"]
+        ordered = found.repartitionByRange(*keys).sortWithinPartitions(*keys)  # ids that ascend with the partitions keep the queue's order
+        level = cut(ordered.select("node", F.col("best.parent").alias("parent"), (-F.col("best.minus")).alias("weight"), F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")))
         if not level.take(1):
             break
         seen = cut(seen.union(level))
