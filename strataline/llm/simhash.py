@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from strataline.plans.components import connected_components
 from strataline.session import cut
@@ -221,72 +222,168 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     return fps.join(classes, F.col("fp") == F.col("code")).select("id", "fp", "component_id")
 
 
-WIDE_WORDS, WIDE_BAND = 8, 2
+MIN_ROWS, MIN_BANDS = 5, 24
 
 
-def wide_fingerprint_of(text: str | None, shingle: int, seed: int) -> bytes:
-    """A fingerprint of 64 x WIDE_WORDS bits, little-endian; every shingle's hash is stretched to that many bits."""
+def shingles_of(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """The set of hashes of a text's word shingles, sorted; a text of fewer words is one shingle, a blank one has none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * WIDE_WORDS)
+        return np.zeros(0, np.uint64)
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first, last = np.concatenate(([0], ends[:-1] + 1)), ends[min(shingle, len(words)) - 1 :]
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(first.tolist(), last.tolist(), strict=False)), np.uint64, len(last))
-    counts = np.zeros(64 * WIDE_WORDS, np.int64)
-    for at in range(0, len(hashes), 255):  # sums of up to 255 bits fit a byte
-        h = hashes[at : at + 255, None] + np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((h ^ (h >> np.uint64(31))).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+    return np.unique(np.fromiter((digest(line[a:b], seed) for a, b in zip(first.tolist(), last.tolist(), strict=False)), np.uint64, len(last)))
 
 
-def bits_at(similarity: float) -> int:
-    """Differing bits expected of two equally long texts of this Jaccard similarity: the angle between their shingle vectors."""
-    import math
+def min_bands(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
+    """A key for each band of MIN_ROWS minima; two sets share a band with their Jaccard similarity to the power MIN_ROWS."""
+    import xxhash
 
-    return round(64 * WIDE_WORDS * math.acos(2 * similarity / (1 + similarity)) / math.pi) + 2
+    if not len(hashes):
+        return []
+    least = np.full(MIN_ROWS * MIN_BANDS, ~np.uint64(0))
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[at : at + 256, None] * factors[0] + factors[1]).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(least[j * MIN_ROWS : (j + 1) * MIN_ROWS].tobytes(), j) for j in range(MIN_BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def alike(common: np.ndarray | int, one: np.ndarray | int, other: np.ndarray | int, similarity: float):
+    """Whether sets of these sizes that share so many elements have the similarity."""
+    return common + 1e-9 >= similarity * (one + other - common)
+
+
+def band_recall(similarity: float) -> float:
+    """The probability that two sets of this similarity share a band and so are compared."""
+    return 1 - (1 - similarity**MIN_ROWS) ** MIN_BANDS
+
+
+def similar_in_group(loose: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links (row, row) of alike sets that join each loose row to every row it is alike to, directly or by others; the other rows are joined already."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    by_term = np.argsort(term, kind="stable")
+    docs, ends = owner[by_term], np.cumsum(np.bincount(term))
+    begins, at = np.append(0, ends[:-1]), np.append(0, np.cumsum(sizes))
+    label = np.where(loose, np.arange(1, len(sets) + 1), 0)
+    a, b = [], []
+    for i in np.flatnonzero(loose).tolist():
+        own, common = term[at[i] : at[i + 1]], np.zeros(len(sets), np.int64)
+        for some in np.array_split(own, 1 + (int((ends[own] - begins[own]).sum()) >> 20)):  # about a million postings at once
+            counts = ends[some] - begins[some]
+            post = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins[some], counts)
+            common += np.bincount(docs[post], minlength=len(sets))
+        for j in np.flatnonzero(alike(common, sizes[i], sizes, similarity) & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(i)
+                b.append(j)
+    return a, b
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets have the similarity."""
+    code = F.col("code").bitwiseXOR(F.lit(0).cast("long"))
+    both = pairs.join(sets.select(code.alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(code.alias("dst"), F.col("shingles").alias("b")), "dst")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                most = min(len(x), len(y))
+                keep.append(bool(alike(most, len(x), len(y), similarity) and alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-def similar_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> DataFrame:
-    """(id, component_id) at a Jaccard similarity of word shingles that 64 bits can't tell apart.
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
-    Fingerprints have 512 bits, whose distance puts the similarity within about 0.03. Codes are dealt by 16-bit bands, of which two texts of
-    similarity 0.8 share one with probability 0.9 and two of 0.9 with 0.998; in a bucket the same hierarchical index finds the links.
+
+def similar_rows(docs: DataFrame, first: list[Column], *, text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> DataFrame:
+    """Every row with a `_key` of its own, its order (`first`, then its place), and `_least`, the smallest key of its class.
+
+    Rows are linked when their sets of word shingles have the Jaccard similarity, by exact comparison; classes are what links lead to. Equal
+    sets are one code. Codes are compared when they share one of MIN_BANDS bands of MIN_ROWS minima of permuted hashes: `band_recall` is
+    0.9999 at 0.8. A bucket's codes are compared with its smallest code first, which joins groups of near copies by rows in proportion to
+    their size; codes that aren't alike to it are then compared with every code of the bucket, large buckets in cells.
     """
-    kind, k = docs.schema[doc].dataType.simpleString(), bits_at(similarity)
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(0, 1 << 63, (2, MIN_ROWS * MIN_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
+    same = F.lit(0).cast("long")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    at = rows.columns.index(text)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(1)], pa.binary())], ["id", "fp"])
-
-    fps = cut(docs.select(doc, text).mapInArrow(prints, f"id {kind}, fp binary").withColumn("node", F.xxhash64("fp")))
-    codes = cut(fps.groupBy("node", "fp").agg(F.min("id").alias("smallest")))
-    bands = [F.struct(F.lit(j).alias("j"), F.substring("fp", 1 + WIDE_BAND * j, WIDE_BAND).alias("v")) for j in range(8 * WIDE_WORDS // WIDE_BAND)]
-    rows = codes.select("fp", F.explode(F.array(*bands)).alias("band")).select("fp", F.xxhash64("band.j", "band.v").alias("key"))
-    large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)).withColumn("key", F.col("key").bitwiseXOR(F.lit(0).cast("long")))
-    if large.take(1):
-        rows = rows.join(large, "key", "left_anti").select("fp", "key").unionByName(in_cells(rows.join(large, "key"), cell).select("fp", "key"))
-    rank = gray_rank(F.conv(F.hex(F.substring("fp", 1, 7)), 16, 10).cast("long"))
-    rows = rows.withColumn("rank", rank).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "rank").select("key", "fp")
+        import xxhash
 
-    def read(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE_WORDS)
+        for batch in batches:
+            codes, bands = [], []
+            for t in batch.column(at):
+                own = shingles_of(t.as_py(), shingle, seed)
+                codes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                bands.append(min_bands(own, factors))
+            more = [pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_code", "_bands"])
+
+    kind = StructType([*rows.schema.fields, StructField("_code", LongType()), StructField("_bands", ArrayType(LongType()))])
+    rows = cut(rows.mapInArrow(prints, kind)).withColumn("_key", F.struct(*first, F.col("_row").alias("_row")))  # written once, so a row's place is fixed
+    codes = cut(rows.groupBy(F.col("_code").alias("code")).agg(F.min("_row").alias("row"), F.min("_key").alias("key"), F.any_value("_bands").alias("bands")))
+    banded = codes.select("code", F.posexplode("bands").alias("j", "v")).select("code", F.xxhash64("j", "v").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("centre")).where("n > 1")
+    met = cut(banded.join(shared.withColumn("band", F.col("band").bitwiseXOR(same)), "band"))
+
+    used = met.select("code").distinct().join(codes.select("code", "row"), "code").select("row")
+    texts = rows.select(F.col("_row").alias("row"), F.col("_code").alias("code"), F.col(text).alias("text")).join(used, "row").select("code", "text")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles_of(t.as_py(), shingle, seed).tobytes() for t in batch.column(1)], pa.binary())], ["code", "shingles"])
+
+    sets = cut(texts.mapInArrow(cut_up, "code long, shingles binary"))
+    stars = cut(alike_pairs(met.where("code <> centre").select(F.col("centre").alias("src"), F.col("code").alias("dst")).distinct(), sets, similarity))
+    linked = stars.select(F.col("src").alias("centre"), F.col("dst").alias("code"), F.lit(True).alias("linked"))
+    parts = cut(met.join(linked, ["centre", "code"], "left").select("band", "code", "n", (F.col("linked").isNull() & (F.col("code") != F.col("centre"))).alias("loose")))
+    # of buckets with the same codes one is enough, and in a bucket of two the centre's pair is all
+    digest = [F.sum(F.xxhash64("code").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("code", F.lit(1))).alias("mix")]
+    open_ = parts.where("n > 2").groupBy("band").agg(F.first("n").alias("m"), F.max("loose").alias("any"), *digest).where("any")
+    open_ = open_.groupBy("m", "total", "mix").agg(F.min("band").alias("band")).select(F.col("band").bitwiseXOR(same).alias("band"))
+    left = parts.join(open_, "band").select(F.col("band").alias("key"), F.col("code").alias("fp"), "n", "loose")
+    small = left.where(F.col("n") <= cell).select("key", "fp", "loose")
+    left = small.unionByName(in_cells(left.where(F.col("n") > cell), cell).select("key", "fp", "loose"))
+    left = left.join(sets.select(F.col("code").bitwiseXOR(same).alias("fp"), "shingles"), "fp")
+    left = left.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").select("key", "fp", "loose", "shingles")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(group: list) -> pa.RecordBatch:
+            unique = list({fp: (loose, own) for fp, loose, own in group}.items())  # a cell may hold a code twice
+            fps = [fp for fp, _ in unique]
+            a, b = similar_in_group(np.array([x[0] for _, x in unique]), [np.frombuffer(x[1], "<u8") for _, x in unique], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in a], pa.int64()), pa.array([fps[i] for i in b], pa.int64())], ["src", "dst"])
+
+        now, group = None, []
+        for batch in batches:
+            for key, fp, loose, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and key != now:
+                    yield solve(group)
+                    group = []
+                now = key
+                group.append((fp, loose, own))
+        if group:
+            yield solve(group)
+
+    more = left.mapInArrow(compared, "src long, dst long")
+    parts = cut(connected_components(cut(stars.unionByName(more))))
+    classes = codes.join(parts, codes.code == parts.node, "left").select("code", "key", F.coalesce("component", "code").alias("root"))
+    least = classes.groupBy("root").agg(F.min("key").alias("_least")).withColumn("root", F.col("root").bitwiseXOR(same))
+    classes = cut(classes.join(least, "root").select(F.col("code").bitwiseXOR(same).alias("_of"), "_least"))
+    return rows.drop("_bands").join(classes, F.col("_code") == F.col("_of")).drop("_code", "_of")
 
-    def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        a, b = index_links(fps, np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), k)
-        label = forest(len(fps), a, b)
-        moved = np.flatnonzero(label != np.arange(len(fps)))
-        pick = lambda at: pa.array([fps[i].tobytes() for i in at], pa.binary())
-        return pa.RecordBatch.from_arrays([pick(moved), pick(label[moved])], ["a", "b"])
 
-    edges = rows.mapInArrow(lambda batches: whole_groups(batches, read, solve), "a binary, b binary").select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"))
-    parts = cut(connected_components(cut(edges.distinct())))
-    classes = codes.join(parts, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id")).select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("root"), "component_id")
-    classes = cut(classes.join(smallest, "root").select(F.col("node").bitwiseXOR(F.lit(0).cast("long")).alias("code"), "component_id"))
-    return fps.join(classes, F.col("node") == F.col("code")).select("id", "component_id")
+def similar_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> DataFrame:
+    """(id, component_id) at a Jaccard similarity of word shingles that 64 bits can't tell apart: a row a row, the smallest id of its class."""
+    rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"))
+    found = similar_rows(rows, [F.col("id").isNull().alias("none"), F.col("id").alias("id")], similarity=similarity, shingle=shingle, seed=seed, cell=cell)
+    return found.select("id", F.col("_least.id").alias("component_id"))

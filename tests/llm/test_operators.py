@@ -133,6 +133,37 @@ def test_similar_documents(spark, odd, none):
     assert simhash.similar_documents(odd).count() == odd.count() and simhash.similar_documents(none).count() == 0
 
 
+def test_similar_documents_is_exact_on_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(300):
+        own, tail = ([f"w{x}" for x in rng.integers(0, 10**9, n)] for n in (400, int(rng.integers(20, 80))))
+        texts_ = (" ".join(own), " ".join(own[: len(own) - len(tail)] + tail))
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts_)
+        rows += [(2 * k, texts_[0]), (2 * k + 1, texts_[1])]
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k + (len(a & b) < 0.8 * len(a | b))
+    apart = sum(want[k] == k for k in range(1, 600, 2))
+    got = {r.id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 50 < apart < 280 and got == want
+
+
+def test_similar_documents_beyond_the_centre(spark):
+    """Codes of one bucket that aren't alike to its smallest code still meet, in cells too."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+    rows, sets = [], {}
+    for k in range(60):
+        tail = [f"t{k // 2}x{x}" for x in range(90)]
+        rows.append((k, " ".join(base + tail + ([f"one{k}"] if k % 2 else []))))
+        words = rows[-1][1].split()
+        sets[k] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    want = {k: min(j for j in range(60) if len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j])) for k in range(60)}
+    assert want == {k: k - k % 2 for k in range(60)}
+    for cell in (4, simhash.CELL):
+        got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell).collect()
+        assert {r.id: r.component_id for r in got} == want
+
+
 # ---- BM25 ------------------------------------------------------------------------------------------------------------------------
 
 
