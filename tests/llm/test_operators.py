@@ -187,6 +187,15 @@ def test_bm25_on_odd_rows(odd, none):
     assert bm25.search(none, none).count() == 0
 
 
+def test_bm25_counts_beyond_16_bits(spark):
+    """Frequencies above 65,535 are whole: the SQL's formula without a cap, in a text of 300,000 equal words."""
+    df = spark.createDataFrame([(1, "a " * 300_000), (2, "a b"), (3, "c d")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in bm25.search(df, df.where("doc_id = 2")).collect()}
+    average, tf = 300_004 / 3, 300_000
+    idf = math.log(1 + (3 - 2 + 0.5) / (2 + 0.5))
+    assert got[1] == pytest.approx(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf / average)), abs=1e-8)
+
+
 # ---- chat ------------------------------------------------------------------------------------------------------------------------
 
 
