@@ -167,3 +167,20 @@ def test_global_alignment_is_best(a, b):
 def test_external_tool_hook(spark):
     got = K.external(spark.range(3), "id long, twice long", lambda pdf: pdf.assign(twice=pdf["id"] * 2)).collect()
     assert [r.twice for r in got] == [0, 2, 4]
+
+
+def test_kernel_density_of_many_points(spark):
+    import numpy as np
+
+    from strataline.operators import relational
+
+    n = 100_001
+    df = spark.range(n).selectExpr("sin(id) / 4 as x", "cos(id * 1.7) / 5 as y")
+    got = {(r.ix, r.iy): r.density for r in relational.kernel_density(df, "x", "y", -0.5, 0.5, 4).collect()}
+    points = np.stack([np.sin(np.arange(n)) / 4, np.cos(np.arange(n) * 1.7) / 5])
+    cov = np.cov(points) * n ** (-1 / 3)
+    assert len(got) == 16
+    for (ix, iy), density in got.items():
+        d = np.array([[-0.5 + (ix + 0.5) / 4], [-0.5 + (iy + 0.5) / 4]]) - points
+        want = np.exp(-(d * (np.linalg.inv(cov) @ d)).sum(axis=0) / 2).sum() / (2 * np.pi * np.sqrt(np.linalg.det(cov)) * n)
+        assert abs(density - want) < 1e-9
