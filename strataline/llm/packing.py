@@ -2,9 +2,10 @@
 
 Each document is cut into full windows and one tail. Tails enter the plan only as a histogram of lengths, which has at most window - 1
 entries at any scale: around the longest length left, a bitset subset-sum picks the multiset of lengths that fills a window closest to
-capacity, the counts are backtracked, and the pattern is used as often as the histogram allows. Tails are ranked within their length and
-find their bin and offset from the pattern table by arithmetic. Lengths for which no pattern comes within `max_slack` are laid end to end and
-cut at window borders, so only the very last window is padded.
+capacity, the counts are backtracked, and the pattern is used as often as the histogram allows. Where the closest fill leaves more than
+`max_slack`, the rest of the window is cut from the front of the longest tail that is longer than that, and what remains of this tail is a
+tail of the shorter length, so every window goes through the same choice and only the last ones, with nothing left to cut, are
+padded by more. Tails are ranked within their length and find their pieces' bins and offsets from the pattern table by arithmetic.
 
 Defined results: null and empty texts are the single end token; repeated rows are packed one by one; very long texts give many full
 windows; an empty table gives an empty result; a text that holds a special token's string gets that token, as the tokenizer does by
@@ -14,6 +15,7 @@ default. Tails rank by a hash of doc_id and their checksum, and rows equal in bo
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,33 +116,53 @@ def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
     return used
 
 
-def plan_bins(histogram: dict[int, int], window: int = WINDOW, max_slack: int = MAX_SLACK) -> tuple[list[tuple[int, int, int, int, int, int]], dict[int, int], int]:
-    """(uses, left, bins): uses are (length, first_rank, copies, offset, first_bin, n_bins); left counts the tails without a pattern.
+class Uses(list):
+    """Rows (tail, rank_from, rank_to, start, length, copies, nth, offset, first_bin): of the tails `tail` long, each of these ranks has the
+    ids from `start` on, `length` of them, in bin first_bin + j // copies at offset + (j % copies) x length, where j is nth + rank - rank_from."""
+
+
+def plan_bins(histogram: dict[int, int], window: int = WINDOW, max_slack: int = MAX_SLACK) -> tuple[Uses, int]:
+    """(uses, bins). A pattern holds the longest length left; each pattern is used until one of its lengths can't serve it again."""
+    left: dict[int, int] = {k: v for k, v in histogram.items() if v > 0 and 0 < k < window}
+    lines: dict[int, deque] = {k: deque([(k, 0, v, 0)]) for k, v in left.items()}  # runs of tails of a length: tail, rank, how many, start
+    uses, bins = Uses(), 0
+
+    def give(length: int, copies: int, times: int, offset: int, taken: int) -> None:
+        """Put the next copies x times tails of a length into `times` bins, `taken` ids of each; what is left of them is a shorter tail."""
+        nth, need = 0, copies * times
+        left[length] -= need
+        while nth < need:
+            tail, rank, n, start = lines[length].popleft()
+            if n > need - nth:
+                lines[length].appendleft((tail, rank + need - nth, n - (need - nth), start))
+                n = need - nth
+            uses.append((tail, rank, rank + n, start, taken, copies, nth, offset, bins))
+            if taken < length:
+                lines.setdefault(length - taken, deque()).append((tail, rank, n, start + taken))
+                left[length - taken] = left.get(length - taken, 0) + n
+            nth += n
+        if not left[length]:
+            del left[length]
 
-    A pattern holds the longest length left; each pattern is used until one of its lengths can't serve it again, so there are fewer
-    patterns than window x log(window) whatever the counts.
-    """
-    left = {k: v for k, v in histogram.items() if v > 0 and 0 < k < window}
-    given: dict[int, int] = {k: 0 for k in left}
-    uses, rest, bins = [], {}, 0
     while left:
         longest = max(left)
         pool = {k: v - (k == longest) for k, v in left.items() if k <= window - longest and v > (k == longest)}
         fill = best_fill(pool, window - longest)
         fill[longest] = fill.get(longest, 0) + 1
-        if window - sum(k * v for k, v in fill.items()) > max_slack:
-            rest[longest] = left.pop(longest)
-            continue
         times, offset = min(left[k] // v for k, v in fill.items()), 0
+        slack = window - sum(k * v for k, v in fill.items())
+        donor = 0
+        if slack > max_slack:
+            donor = max((k for k, v in left.items() if k > slack and v > fill.get(k, 0)), default=0)
+            if donor:
+                times = min(left[k] // (fill.get(k, 0) + (k == donor)) for k in {*fill, donor})
         for length in sorted(fill, reverse=True):
-            uses.append((length, given[length], fill[length], offset, bins, times))
-            given[length] += fill[length] * times
+            give(length, fill[length], times, offset, length)
             offset += length * fill[length]
-            left[length] -= fill[length] * times
-            if not left[length]:
-                del left[length]
+        if donor:
+            give(donor, 1, times, offset, slack)
         bins += times
-    return uses, rest, bins
+    return uses, bins
 
 
 def packed(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", window: int = WINDOW, max_slack: int = MAX_SLACK, tokenizer: tuple[str, str | None] | None = None, with_ids: bool = False) -> DataFrame:
@@ -153,39 +175,22 @@ def packed(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", window:
     order = [F.col("unit"), F.col("doc_id"), F.col("tail_crc")]
 
     histogram = {r["tail_length"]: r["n"] for r in slim.where("tail_length > 0").groupBy("tail_length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    uses, rest, bins = plan_bins(histogram, window, max_slack)
-    first_rank, base, at = {}, {}, 0
-    for length in sorted(rest, reverse=True):  # the last ranks of a length are those without a pattern
-        first_rank[length], base[length] = histogram[length] - rest[length], at
-        at += length * rest[length]
-    loose_bins = -(-at // window)
+    uses, bins = plan_bins(histogram, window, max_slack)
 
     # at most window - 1 lengths, each with the few patterns that hold it: bounded by the plan, not by the rows
-    table = spark.createDataFrame([(k, r, r + c * m, c, o, b) for k, r, c, o, b, m in uses] + [(k, first_rank[k], histogram[k], 0, base[k], -1) for k in rest] or [(0, 0, 0, 0, 0, 0)], "use_length long, rank_from long, rank_to long, copies long, use_offset long, first_bin long")
-    by_length = table.groupBy("use_length").agg(F.collect_list(F.struct("rank_from", "rank_to", "copies", "use_offset", "first_bin")).alias("uses"))
+    table = spark.createDataFrame(list(uses) or [(0,) * 9], "tail long, rank_from long, rank_to long, start long, length long, copies long, nth long, use_offset long, first_bin long")
+    by_length = table.groupBy(F.col("tail").alias("use_length")).agg(F.collect_list(F.struct("rank_from", "rank_to", "start", "length", "copies", "nth", "use_offset", "first_bin")).alias("uses"))
     tails = running(slim.where("tail_length > 0").select("doc_id", "doc_tokens", "tail", "tail_length", "unit", "bucket", "tail_crc"), ["tail_length"], "bucket", order, rank="r")
     tails = tails.join(F.broadcast(by_length), F.col("tail_length") == F.col("use_length"))
-    tails = tails.withColumn("use", F.get(F.filter("uses", lambda u: (u["rank_from"] <= F.col("r")) & (F.col("r") < u["rank_to"])), F.lit(0)))
-    nth, placed = F.col("r") - F.col("use.rank_from"), F.col("use.copies") > 0
-    line = F.col("use.use_offset") + nth * F.col("tail_length")
-    tails = tails.withColumns(
-        {
-            "sequence_id": F.when(placed, F.col("use.first_bin") + F.floor(nth / F.col("use.copies"))).otherwise(bins + F.floor(line / window)).cast("long"),
-            "offset": F.when(placed, F.col("use.use_offset") + (nth % F.col("use.copies")) * F.col("tail_length")).otherwise(line % window).cast("long"),
-        }
-    )
-    # a loose tail that crosses a window's border is two pieces
-    over = F.greatest(F.lit(0), F.col("offset") + F.col("tail_length") - window)
-    head = F.col("tail_length") - over
     width = F.floor(F.length("tail") / F.col("tail_length")).cast("int")
-    ids = lambda start, length: F.substring(F.col("tail"), (start * width + 1).cast("int"), (length * width).cast("int"))
-    piece = lambda start, length, seq, off: F.struct(start.alias("at"), length.alias("length"), seq.alias("sequence_id"), off.alias("offset"), ids(start, length).alias("ids"))
-    two = F.array(piece(F.lit(0).cast("long"), head, F.col("sequence_id"), F.col("offset")), piece(head, over, F.col("sequence_id") + 1, F.lit(0).cast("long")))
-    tails = tails.select("doc_id", "doc_tokens", "tail_length", width.alias("width"), F.explode(F.filter(two, lambda p: p["length"] > 0)).alias("p"))
-    wide = F.when(F.col("width") == 4, F.col("p.ids")).otherwise(F.unhex(F.regexp_replace(F.hex("p.ids"), "(....)", "$10000")))
-    tails = tails.select("doc_id", (F.col("doc_tokens") - F.col("tail_length") + F.col("p.at")).alias("start"), F.col("p.length").alias("length"), F.crc32(wide).alias("ids_crc32"), "doc_tokens", F.col("p.sequence_id").alias("sequence_id"), F.col("p.offset").alias("offset"), *([wide.alias("ids")] if with_ids else []))
+    tails = tails.select("doc_id", "doc_tokens", "tail_length", "tail", "r", width.alias("width"), F.explode(F.filter("uses", lambda u: (u["rank_from"] <= F.col("r")) & (F.col("r") < u["rank_to"]))).alias("p"))
+    j = F.col("p.nth") + F.col("r") - F.col("p.rank_from")
+    ids = F.substring(F.col("tail"), (F.col("p.start") * F.col("width") + 1).cast("int"), (F.col("p.length") * F.col("width")).cast("int"))
+    tails = tails.withColumns({"sequence_id": (F.col("p.first_bin") + F.floor(j / F.col("p.copies"))).cast("long"), "offset": (F.col("p.use_offset") + (j % F.col("p.copies")) * F.col("p.length")).cast("long"), "piece": ids})
+    wide = F.when(F.col("width") == 4, F.col("piece")).otherwise(F.unhex(F.regexp_replace(F.hex("piece"), "(....)", "$10000")))
+    tails = tails.select("doc_id", (F.col("doc_tokens") - F.col("tail_length") + F.col("p.start")).alias("start"), F.col("p.length").alias("length"), F.crc32(wide).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *([wide.alias("ids")] if with_ids else []))
 
     full = slim.where("n_full > 0").select("doc_id", "doc_tokens", "full_crcs", "n_full", "unit", "bucket", "tail_crc")
     full = running(full, [], "bucket", order, F.col("n_full"), rank="r").select("doc_id", "doc_tokens", "before", F.posexplode("full_crcs").alias("k", "ids_crc32"))
-    full = full.select("doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.lit(bins + loose_bins) + F.col("before") + F.col("k")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *([F.lit(None).cast("binary").alias("ids")] if with_ids else []))
+    full = full.select("doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.lit(bins) + F.col("before") + F.col("k")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *([F.lit(None).cast("binary").alias("ids")] if with_ids else []))
     return full.unionByName(tails)
