@@ -5,8 +5,10 @@ cast their scores as votes for their generalised path (tags and classes from the
 summed by host and path, and each host's winner joins its pages. Second pass: pages are read again and the text of the elements at the
 winning path is returned; pages without that path use their own best container, and pages without any use their whole body.
 
-Boilerplate inside the container is left out: navigation, headers and footers of the page, asides, forms, scripts, styles and elements
-whose class, id or role names adverts, notices, menus, sidebars or reader comments.
+Boilerplate is told in two degrees. Menus, footers, asides, controls, hidden elements and reader comments are never text of the article. Page
+headers, forms and elements whose class, id or role names an advert, a notice, a sidebar or the like are left out unless they hold most of what
+remains of the page: then they are the page's frame. A class names such a thing as a whole (`cookie-notice`, `sidebar-left`), not by a part
+of it (`notice-board`, `with-sidebar`). If nothing else is left on a page, the text of the second degree is returned rather than none.
 
 Defined results: null and empty pages have empty texts; a null url is a host of its own; a tag cut off by the end of the page is no text;
 ties between paths fall to the longer, then the first by code point; repeated rows are extracted alike and vote each; an empty table gives an
@@ -30,31 +32,46 @@ VOTES_A_PAGE, MIN_SHARE = 3, 0.4
 BROADCAST_HOSTS = 100_000
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|math|iframe|object|canvas)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|iframe)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 # fixed values: element names of HTML by how they are read
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav aside footer form button select dialog menu textarea fieldset".split())
+NEVER = frozenset("nav aside footer button select menu textarea".split())
+HEADS = frozenset("article main h1 h2 h3".split())
+FRAMES = frozenset("form dialog fieldset".split())
 CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
 BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
+NEVER_WORDS = frozenset("menu navbar navigation nav breadcrumb breadcrumbs pagination pager comment comments commentlist respond reply replies disqus footer contentinfo".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup "
-    "share sharing social sidebar widget widgets related recommended recommendations menu navbar navigation nav breadcrumb breadcrumbs pagination pager comment comments commentlist respond reply replies disqus footer login search toolbar skip alert "
-    "complementary contentinfo outbrain taboola teaser".split()
+    "share sharing social sidebar widget widgets related recommended recommendations login search toolbar skip alert complementary outbrain taboola teaser header masthead".split()
 )
-ARTICLE_WORDS = frozenset("article post entry story content main".split())
+# what may stand beside such a word in a class name without changing what it names
+BESIDE = frozenset("site page main global top bottom left right upper lower primary secondary box block list bar container wrapper wrap section area inner outer item items link links form buttons button column col panel slot unit zone thread title text message body bg sticky fixed mobile desktop js is id the of to my us posts articles stories news".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def degree(names: str) -> int:
+    """0 if a class, id or role names nothing to leave out, 1 if it names boilerplate, 2 if it can never be text of the article."""
+    worst = 0
+    for token in re.sub(r"[0-9]+", "", names).split():
+        words = [w for w in re.split(r"[^a-z]+", token) if w]
+        if words and all(w in NOISE or w in NEVER_WORDS or w in BESIDE for w in words):
+            worst = max(worst, 2 if any(w in NEVER_WORDS for w in words) else int(any(w in NOISE for w in words)))
+    return worst
 
 
 class Page:
-    """The page's text blocks in order and its containers as ranges of blocks."""
+    """The page's text blocks in order and its containers as ranges of blocks, each with its degree of boilerplate: 0, 1 or 2."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, int, bool]] = []  # text, characters in links, boilerplate
-        self.nodes: list[list] = [["", 0, -1, False]]  # path, first block, block after the last, boilerplate
+        self.blocks: list[list] = []  # text, characters in links, degree (the node, while reading)
+        self.nodes: list[list] = [["", 0, -1, 0]]  # path, first block, block after the last, degree
+        self.parents = [0]
         stack: list[tuple[str, int]] = [("", 0)]
         pieces: list[str] = []
         links = depth = 0
@@ -63,7 +80,7 @@ class Page:
             nonlocal links
             if pieces:
                 if text := " ".join("".join(pieces).split()):
-                    self.blocks.append((text, min(links, len(text)), self.nodes[stack[-1][1]][3]))
+                    self.blocks.append([text, min(links, len(text)), stack[-1][1]])
                 pieces.clear()
             links = 0
 
@@ -112,27 +129,52 @@ class Page:
                 continue
             label, noise = self._label(name, m[4] or m[7] or "", stack)
             parent = self.nodes[stack[-1][1]]
-            self.nodes.append([f"{parent[0]}>{label}" if parent[0] else label, len(self.blocks), -1, parent[3] or noise])
+            self.nodes.append([f"{parent[0]}>{label}" if parent[0] else label, len(self.blocks), -1, noise])
+            self.parents.append(stack[-1][1])
             stack.append((name, len(self.nodes) - 1))
         if at < len(html):
             add(html[at:])
         flush()
         pop(0)
-
-    def _label(self, name: str, attributes: str, stack: list[tuple[str, int]]) -> tuple[str, bool]:
-        label, noise = name, name in DROPPED or name == "header" and not any(t in ("article", "main") for t, _ in stack)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Degrees reach down to what an element holds; a frame, of degree 1 but with most of what can be text in elements of its own, has none."""
+        worst, inside = [0] * len(self.nodes), [0] * len(self.nodes)  # inside: 1 if it holds elements, 2 if a heading, an article or the like
+        for k in range(len(self.nodes) - 1, 0, -1):
+            name = self.nodes[k][0].rpartition(">")[2].partition(".")[0]
+            inside[self.parents[k]] = max(inside[self.parents[k]], inside[k], 2 if name in HEADS else 1)
+        for k in range(1, len(self.nodes)):
+            worst[k] = max(worst[self.parents[k]], self.nodes[k][3] // 2 * 2)
+        held = [0]
+        for text, links, node in self.blocks:
+            held.append(held[-1] + (0 if worst[node] == 2 or 2 * links > len(text) else len(text)))
+        for k, node in enumerate(self.nodes):
+            share = held[node[2]] - held[node[1]]
+            if node[3] == 1 and inside[k] and (2 * share > held[-1] if inside[k] == 2 else 5 * share > 4 * held[-1]):
+                node[3] = 0
+            if k:
+                node[3] = max(node[3], self.nodes[self.parents[k]][3])
+        for block in self.blocks:
+            block[2] = self.nodes[block[2]][3]
+        if self.blocks and not any(block[2] == 0 for block in self.blocks):  # nothing else on the page
+            for part in (*self.nodes, *self.blocks):
+                part[-1] = part[-1] // 2 * 2
+
+    def _label(self, name: str, attributes: str, stack: list[tuple[str, int]]) -> tuple[str, int]:
+        label, noise = name, 2 if name in NEVER else int(name in FRAMES or name == "header" and not any(t in ("article", "main") for t, _ in stack))
         if attributes.strip():
-            words: set[str] = set()
+            named = []
             for a in ATTRIBUTE.finditer(attributes):
                 kind, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 if kind == "class" and value:
                     label = f"{name}.{re.sub(r'[0-9]+', '#', value.split()[0])}" if value.split() else name
-                noise |= kind == "hidden" and a.group().lower() == "hidden" or kind == "aria-hidden" and value == "true"
+                if kind == "hidden" and a.group().lower() == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and HIDDEN.search(value):
+                    noise = 2
                 if kind in ("class", "id", "role"):
-                    words.update(re.split(r"[^a-z]+", re.sub(r"[0-9]+", "", value)))
-            own = name in ("body", "html", "main", "article")
-            bad = words & NOISE or ("header" in words or "banner" in words) and not words & ARTICLE_WORDS
-            noise |= bool(bad) and not (own and not words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "teaser", "related"})
+                    named.append(value)
+            if name not in ("body", "html", "main"):
+                noise = max(noise, degree(" ".join(named)))
         return label, noise
 
     def candidates(self) -> list[tuple[float, str, int]]:
