@@ -1,30 +1,35 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are trigrams of character classes (runs of small letters count once, so words of any language look alike) and a few measures
-of repetition. Latent vectors come from a truncated SVD of the labelled sample's weighted terms. The sample's vectors and labels, at most
-`SAMPLE` rows of `RANK` numbers, are broadcast; every document is compared with all of them by blocked cosine products, and the labels of its
-`NEIGHBOURS` nearest are averaged by similarity.
+A text's terms are its hashed words, trigrams of character classes (runs of small letters count once, so the layout of any language looks alike)
+and a few measures of repetition. Latent vectors come from a truncated SVD of the labelled sample's weighted terms. The sample's vectors
+and labels, at most `SAMPLE` rows of `RANK` numbers, are broadcast; every document is compared with all of them by blocked cosine products, and
+the labels of its `NEIGHBOURS` nearest are averaged by similarity.
 
 The sample is the `SAMPLE` labelled documents outside the held-out fold whose hashed ids come first; it is the only bound, every document is
-scored. Defined results: null and empty texts are scored like any text, from no terms; without labelled rows every score is 0.5; null
-labels are left out; repeated rows are scored alike; an empty table gives an empty result.
+scored. Of rows of one id the sample has one, the text of smallest hash, and of an id's labels the smallest. Defined results: null and empty texts
+are scored like any text, from no terms; without labelled rows every score is 0.5; null labels are left out; labelled documents as near as
+the last of the nearest all vote; repeated rows are scored alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.vectors import dense, fold, sample_order, sparse_features, unit_rows
+from strataline.llm.vectors import dense, fold, one_text, sample_order, sparse_features, unit_rows
 
 SAMPLE, RANK, NEIGHBOURS, SHARPNESS = 6000, 48, 24, 24.0
 FOLDS, THRESHOLD = 5, 0.3
-EXTRA, WIDTH, BLOCK = 8, 4096 + 8, 256
+HASHED, CLASS_TERMS, BLOCK = 2048, 4096, 256
+WIDTH = CLASS_TERMS + 8 + HASHED
+#: Weight of a text's words beside its layout.
+WORD_WEIGHT = 0.5
 
 
 def _classes() -> np.ndarray:
@@ -40,7 +45,7 @@ CLASSES = _classes()
 
 
 def terms(text: str | None) -> np.ndarray:
-    """The text's weighted terms, before the corpus weights: root shares of class trigrams, then of repetition."""
+    """The text's weighted terms, before the corpus weights: root shares of class trigrams, of repetition and of hashed words."""
     raw = (text or "").encode("utf-8", "replace")
     out = np.zeros(WIDTH, np.float32)
     words = raw.split()
@@ -49,8 +54,8 @@ def terms(text: str | None) -> np.ndarray:
     c = CLASSES[np.frombuffer(raw, np.uint8)]
     c = c[np.append(True, (c[1:] != c[:-1]) | (c[1:] != 3))].astype(np.uint32)
     if len(c) > 2:
-        counts = np.bincount((c[:-2] << 8) | (c[1:-1] << 4) | c[2:], minlength=4096)
-        out[:4096] = np.sqrt(counts / (len(c) - 2))
+        counts = np.bincount((c[:-2] << 8) | (c[1:-1] << 4) | c[2:], minlength=CLASS_TERMS)
+        out[:CLASS_TERMS] = np.sqrt(counts / (len(c) - 2))
     n, lines = len(words), [x for x in raw.split(b"\n") if x.strip()]
     kinds = Counter(words)
     shares = (
@@ -63,7 +68,9 @@ def terms(text: str | None) -> np.ndarray:
         1 / n,
         min(1.0, sum(map(len, words)) / n / 20),
     )
-    out[4096:] = np.sqrt(np.clip(shares, 0, 1))
+    out[CLASS_TERMS : CLASS_TERMS + 8] = np.sqrt(np.clip(shares, 0, 1))
+    places = np.fromiter(map(crc32, kinds), np.uint32, len(kinds)) % HASHED
+    out[CLASS_TERMS + 8 :] = WORD_WEIGHT * np.sqrt(np.bincount(places, np.fromiter(kinds.values(), np.float64, len(kinds)), HASHED) / n)
     return out
 
 
@@ -78,30 +85,32 @@ class Voter:
             return
         df = (x > 0).sum(axis=0)
         weight = np.where(df >= min(3, n), np.log((1 + n) / (1 + df)) + 1, 0).astype(np.float32)
-        y = x * weight
+        x = np.multiply(x, weight, out=x)  # in place: the sample is the largest thing on the driver
         rank = min(rank, n, WIDTH)
         q = np.random.default_rng(seed).standard_normal((WIDTH, rank + 8)).astype(np.float32)
         for _ in range(6):
-            q, _ = np.linalg.qr(y.T @ (y @ q))
-        _, _, vt = np.linalg.svd(y @ q, full_matrices=False)
-        self.projection = (weight[:, None] * (q @ vt.T[:, :rank])).astype(np.float32)
-        self.vectors = unit_rows(x @ self.projection).astype(np.float32)
+            q, _ = np.linalg.qr(x.T @ (x @ q))
+        _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+        axes = (q @ vt.T[:, :rank]).astype(np.float32)
+        self.vectors = unit_rows(x @ axes).astype(np.float32)
+        self.projection = weight[:, None] * axes
 
     def score(self, x: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(x), 0.5)
         near = unit_rows(x @ self.projection) @ self.vectors.T
         k = min(neighbours, near.shape[1])
-        at = np.argpartition(near, -k, axis=1)[:, -k:]
-        sims = np.take_along_axis(near, at, axis=1).astype(np.float64)
-        votes = np.exp(SHARPNESS * (sims - sims.max(axis=1, keepdims=True)))
-        return np.clip((votes * self.labels[at]).sum(axis=1) / votes.sum(axis=1), 0.0, 1.0)
+        last = np.partition(near, -k, axis=1)[:, -k]
+        row, at = np.nonzero(near >= last[:, None])  # more than k where the last is tied
+        sims = near[row, at].astype(np.float64)
+        votes = np.exp(SHARPNESS * (sims - near.max(axis=1)[row]))
+        return np.clip(np.bincount(row, votes * self.labels[at], len(x)) / np.bincount(row, votes, len(x)), 0.0, 1.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Voter:
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull() & (fold(F.col(doc), FOLDS) != 0)).select(F.col(doc).alias("_id"), F.col(label).alias("_label"))
-    chosen = chosen.orderBy(*sample_order(F.col("_id"))).limit(sample)
-    rows = docs.select(doc, text).join(F.broadcast(chosen), F.col(doc) == F.col("_id"))  # at most `sample` ids
+    chosen = chosen.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(*sample_order(F.col("_id"))).limit(sample)
+    rows = one_text(docs.select(F.col(doc).alias("_doc"), F.col(text).alias(text)).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")), ["_id", "_label"], text)  # at most `sample` rows
     at, values, y = sparse_features(rows, text, "_label", terms)
     return Voter(dense(at, values, WIDTH), np.array(y, np.float32))
 

@@ -2,7 +2,9 @@
 
 Texts are hashed trigrams of their lower-cased letters. Families are a fixed table of language codes; codes outside it join the family whose
 mean vector is closest. Families are told apart one versus one as well, and so are a family's languages. All machines are squared-hinge
-linear SVMs fitted here on a bounded sample: at most `PER_LANGUAGE` documents a language, those whose hashed ids come first, and `SAMPLE` in all.
+linear SVMs fitted here on a bounded sample: at most `PER_LANGUAGE` documents a language, those whose hashed ids come first, and `SAMPLE` in all, every
+language's first before any's second. Of rows of one id and language the sample has one. Between equal shares the family, then the language,
+that comes first in sorted order is predicted.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with nothing to learn from, every text is; one learned
 language is predicted with score 1; repeated rows get the same prediction; an empty table gives an empty result.
@@ -18,12 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.vectors import dense, fold, sample_order, sparse_features, unit_rows
+from strataline.llm.vectors import dense, fold, one_text, sample_order, sparse_features, unit_rows
 
 PER_LANGUAGE, SAMPLE, WIDTH, BLOCK = 1000, 12000, 4096, 256  # up to 1000, Spark ranks a language's rows before they move
 FOLDS, HELD_OUT = 4, 2
-#: At most so many languages are learned, the most frequent ones.
-LANGUAGES = 200
 # fixed values: ISO 639-1 codes by family
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -135,16 +135,14 @@ def fit(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     rows = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (fold(F.col("_id"), FOLDS) != HELD_OUT))
     first = Window.partitionBy("_lang").orderBy(*sample_order(F.col("_id")))
-    # only about three times as many rows of a language as are needed go to its task: those of smallest hash
-    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["_lang"], (3.0 * per_language + 50) / r["_n"])])[F.col("_lang")]
+    # only about three times as many ids of a language as are needed go to its task: those of smallest hash
+    counts = rows.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("_n")).select(F.col("_lang").alias("_of"), ((3.0 * per_language + 50) / F.col("_n")).alias("_share"))
     hashed = F.shiftrightunsigned(sample_order(F.col("_id"))[0].bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 11) / F.lit(float(1 << 53))
-    few = rows.select("_id", "_lang").where(hashed < share)
+    few = rows.select("_id", "_lang").join(counts, F.col("_lang") == F.col("_of")).where(hashed < F.col("_share")).select("_id", "_lang").distinct()
     ids = few.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= per_language)
-    ids = ids.orderBy("_nth", *sample_order(F.col("_id"))).limit(sample).select(F.col("_id").alias("_chosen")).distinct()
-    at, values, langs = sparse_features(rows.join(F.broadcast(ids), F.col("_id") == F.col("_chosen")), "_text", "_lang", grams)  # at most `sample` ids
+    ids = ids.orderBy("_nth", *sample_order(F.col("_id")), "_lang").limit(sample).select(F.col("_id").alias("_chosen"), F.col("_lang").alias("_as"))
+    chosen = rows.join(F.broadcast(ids), (F.col("_id") == F.col("_chosen")) & (F.col("_lang") == F.col("_as")))  # at most `sample` pairs of id and language
+    at, values, langs = sparse_features(one_text(chosen, ["_id", "_lang"], "_text"), "_text", "_lang", grams)
     return Tree(dense(at, values, WIDTH), langs) if langs else None
 
 

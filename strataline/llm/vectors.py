@@ -19,6 +19,11 @@ def sample_order(doc: Column) -> list[Column]:
     return [F.xxhash64(doc), doc]
 
 
+def one_text(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row for each key: of the texts that rows of one id have, that of smallest hash."""
+    return rows.groupBy(*keys).agg(F.min_by(text, F.struct(F.xxhash64(text), F.length(text))).alias(text))
+
+
 def sparse_features(rows: DataFrame, text: str, label: str, features: Callable[[str | None], np.ndarray]) -> tuple[np.ndarray, np.ndarray, list]:
     """(indptr-free) row numbers, places, values and labels of a bounded sample's features, brought to the driver."""
     kind = rows.schema[label].dataType.simpleString()
