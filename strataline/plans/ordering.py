@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.session import cut
+
 
 def unit_hash(*cols: Column) -> Column:
     """A uniform number in [0, 1) made from the columns' values: 53 bits of a 64-bit hash."""
@@ -23,6 +25,26 @@ def even_buckets(unit: Column, rows: int) -> Column:
     return F.floor(unit * F.lit(float(max(1, math.isqrt(max(1, rows)))))).cast("long")
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "place0", sums: dict[str, Column] | None = None) -> DataFrame:
+    """Adds each row's 0-based place in a whole table's order and, for each of `sums`, the sum over the rows ahead of it, without one task for all rows.
+
+    Ranges are sorted on their own and the counts and sums of the ranges before are added. The ranges are materialised first, so places don't
+    move. Rows equal in `order` are numbered in any order.
+    """
+    sums = sums or {}
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_part": F.shiftright("_id", 33), **{f"_v{k}": v for k, v in enumerate(sums.values())}})
+    totals = rows.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v{k}").alias(f"_t{k}") for k in range(len(sums))])  # a row a range
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_of", *[F.coalesce(F.sum(f"_t{k}").over(ahead), F.lit(0)).alias(f"_b{k}") for k in range(len(sums))], F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    for k, c in enumerate(sums):
+        rows = rows.withColumn(f"_s{k}", F.coalesce(F.sum(f"_v{k}").over(own), F.lit(0)))
+    placed = rows.join(F.broadcast(before), F.col("_part") == F.col("_of"))
+    made = {name: F.col("_id").bitwiseAND(F.lit((1 << 33) - 1).cast("long")) + F.col("_before"), **{c: F.col(f"_s{k}") + F.col(f"_b{k}") for k, c in enumerate(sums)}}
+    return placed.withColumns(made).drop("_id", "_part", "_of", "_before", *[f"{x}{k}" for k in range(len(sums)) for x in ("_v", "_s", "_b")])
+
+
 def running(df: DataFrame, groups: Sequence[str], bucket: str, order: Sequence[Column], value: Column | None = None, rank: str = "rank0", before: str = "before") -> DataFrame:
     """Adds each row's 0-based rank in its group and, for `value`, the sum over the rows ahead of it.
 

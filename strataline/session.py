@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "strataline", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -47,17 +48,40 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders of stored tables by application, each with a weak reference to what every plan that reads it holds.
+_STORED: dict[str, list[tuple[str, object]]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder and forget its lineage."""
+    """Materialise `df` in the shared folder and forget its lineage; Spark's cleaner removes it where `cleanCheckpoints` is on."""
     shared_folder(df.sparkSession)
+    swept(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As `cut`, as compressed columns: for rows that carry texts and are read by a few columns at a time."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    """As `cut`, as compressed columns: for rows that carry texts and are read by a few columns at a time. The folder goes once no plan reads it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    swept(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append((path, spark._jvm.java.lang.ref.WeakReference(files)))
+    return out
+
+
+def swept(spark: SparkSession) -> None:
+    """Remove the stored tables that nothing refers to any more."""
+    held = _STORED.get(spark.sparkContext.applicationId, [])
+    for entry in [x for x in held if x[1].get() is None]:
+        held.remove(entry)
+        removed(spark, entry[0])
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A materialised side of a join, marked to be broadcast if it has at most so many rows, else to be hashed where the other side's rows arrive."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
 
 
 @contextmanager
