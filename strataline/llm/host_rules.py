@@ -1,7 +1,8 @@
 """Quality rules with verdicts on hosts.
 
 Every text is measured with SQL functions alone. Failures of the base rules are summed by host, the hosts' failure rates are shrunk
-towards a beta prior estimated from all hosts by moments, and a host whose shrunk rate passes `host_limit` has all its documents rejected.
+towards a beta prior estimated from all hosts by moments, and a host has all its documents rejected when its shrunk rate, less `HOST_MARGIN`
+standard deviations of its posterior, is still above `HOST_LIMIT`: most of what it holds fails, and it holds enough to say so.
 
 Defined results: null and empty texts have no words and fail; ties and repeated rows are measured row by row and count row by row; a null
 host is a host of its own; an empty table gives an empty result; further columns pass through, and a column that has the name of a
@@ -13,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.session import cut
+from strataline.session import bounded, cut, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A host's documents go when the shrunk share of failing ones is above this.
-HOST_LIMIT = 0.8
+#: A host's documents go when its posterior share of failing ones is above the limit by the margin in standard deviations.
+HOST_LIMIT, HOST_MARGIN = 0.5, 2.0
+#: Verdicts are broadcast up to this many hosts; above, rows and verdicts meet in a shuffled join.
+BROADCAST_HOSTS = 100_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -84,22 +87,18 @@ def host_verdicts(measures: DataFrame, host: str, host_limit: float = HOST_LIMIT
     mean, variance = hosts.agg(F.avg(raw), F.var_samp(raw)).first()
     mean = mean or 0.0
     strength = min(1000.0, max(1.0, mean * (1 - mean) / variance - 1)) if variance else 1000.0
-    rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.select("host", "n_docs", "n_failed", rate.alias("host_rate"), (rate > host_limit).alias("host_rejected"))
+    rows = F.col("n_docs") + F.lit(strength)
+    rate = (F.col("n_failed") + F.lit(mean * strength)) / rows
+    floor = rate - HOST_MARGIN * F.sqrt(rate * (1 - rate) / (rows + 1))
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("host_rate"), (floor > host_limit).alias("host_rejected"))
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", host_limit: float = HOST_LIMIT, keep_rows: bool = False) -> DataFrame:
-    """Every row with its measures, its host's shrunk failure rate and `kept`.
+    """Every row with its measures, its host's shrunk failure rate and `kept`; with `keep_rows` the text stays too.
 
-    Without `keep_rows` the columns besides text stay and the measures are materialised once; with it the text stays too, and the texts
-    are measured twice instead of being written once more.
+    Rows are measured once and written with their measures, which then meet their host's verdict.
     """
-    if keep_rows:
-        verdicts = host_verdicts(measured(docs.select(host, text)), host, host_limit)
-        rows = measured(docs)
-    else:
-        rows = cut(measured(docs).drop(text))
-        verdicts = host_verdicts(rows, host, host_limit)
-    verdicts = verdicts.select(F.col("host").alias("_host"), "host_rate", "host_rejected")
+    rows = stored(measured(docs) if keep_rows else measured(docs).drop(text))
+    verdicts = bounded(host_verdicts(rows, host, host_limit).select(F.col("host").alias("_host"), "host_rate", "host_rejected"), BROADCAST_HOSTS)
     joined = rows.drop("host_rate", "host_rejected").join(verdicts, rows[host].eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))

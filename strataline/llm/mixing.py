@@ -3,11 +3,12 @@
 Targets come from water-filling: weights share the budget, no source passes `max_epochs` times its size, and what is above is shared
 again by weight. Golden-ratio points, one a slot, run through the cumulated targets and so name a source for every slot; slots are ranked
 within their source. Each source's documents are shuffled by hash and laid end to end, once an epoch, and that line, cut at the target, is
-cut into as many equal-token blocks as the source has slots. The k-th slot of a source takes its k-th block.
+cut into as many equal-token blocks as the source has slots. The k-th slot of a source takes its k-th block, so that any run of slots holds the
+sources near their weights; a document's `first_slot` says where in the mix it begins.
 
 Defined results: null and empty texts have size 0 and are taken 0 words of; a null source is a source of its own and comes last; repeated
 rows are separate documents; an empty table gives an empty schedule; ties in the shuffle fall to doc_id and size, and rows equal in those
-are interchangeable. Sources so small that no point meets them get one slot at the end. One row a source is what the source tables hold.
+are interchangeable. Sources so small that no point meets them get one slot at the end.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.plans.ordering import even_buckets, running, unit_hash
-from strataline.session import cut
+from strataline.plans.ordering import even_buckets, numbered, running, unit_hash
+from strataline.session import bounded, cut, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -31,18 +32,17 @@ def word_count(text: Column) -> Column:
 
 def targets(sizes: DataFrame, weights: Sequence[float], budget_ratio: float, max_epochs: float) -> DataFrame:
     """One row a source: src_no (by code point, null last), source_size, target and its whole part."""
-    by_name, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", "src_no")
-    ahead = by_ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("src_no") % len(weights)) + 1).cast("int"))
-    t = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("src_no", F.row_number().over(by_name) - 1).withColumn("weight", weight)
+    t = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], "src_no").withColumn("weight", weight)
     t = t.withColumns({"limit": max_epochs * F.col("source_size"), "ratio": max_epochs * F.col("source_size") / F.col("weight")})
+    t = cut(numbered(t, [F.col("ratio"), F.col("src_no")], "_place", {"limits": F.col("limit").cast("double"), "lighter": F.col("weight")}))
+    words, heavy = t.agg(F.sum("source_size"), F.sum("weight")).first()
     # a source is at its limit if, with all of smaller ratio at theirs, its share of the rest would still reach it
-    t = t.withColumns({"budget": budget_ratio * F.sum("source_size").over(every), "limits": F.sum("limit").over(ahead) - F.col("limit"), "rest": F.sum("weight").over(every) - F.sum("weight").over(ahead) + F.col("weight")})
-    t = t.withColumn("level", (F.col("budget") - F.col("limits")) / F.col("rest")).withColumn("full", F.col("level") >= F.col("ratio"))
-    t = t.withColumn("final", F.min(F.when(~F.col("full"), F.struct("ratio", "src_no", "level"))).over(every)["level"])
-    t = t.withColumn("target", F.when(F.col("full") | F.col("final").isNull(), F.col("limit")).otherwise(F.col("final") * F.col("weight")).cast("double"))
-    return t.select("source", "src_no", "source_size", "target", F.floor(F.col("target") + 1e-6).cast("long").alias("whole"))
+    t = t.withColumn("level", (F.lit(float(budget_ratio * (words or 0))) - F.col("limits")) / (F.lit(float(heavy or 0)) - F.col("lighter"))).withColumn("full", F.col("level") >= F.col("ratio"))
+    first = t.where(~F.col("full")).agg(F.min(F.struct("ratio", "src_no", "level"))["level"]).first()[0]
+    shared = F.col("limit") if first is None else F.when(F.col("full"), F.col("limit")).otherwise(F.lit(first) * F.col("weight"))
+    t = t.withColumn("target", shared.cast("double"))
+    return t.select("source", F.col("src_no").cast("int").alias("src_no"), "source_size", "target", F.floor(F.col("target") + 1e-6).cast("long").alias("whole"))
 
 
 def slot_sources(sources: DataFrame, budget: float, slot_words: int) -> DataFrame:
@@ -50,8 +50,7 @@ def slot_sources(sources: DataFrame, budget: float, slot_words: int) -> DataFram
     spark = sources.sparkSession
     n = max(1, math.ceil(budget / slot_words))
     cells = max(1, n // 8)
-    order = Window.orderBy("src_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = sources.where("whole > 0").withColumn("hi", F.sum("target").over(order) / budget).withColumn("lo", F.col("hi") - F.col("target") / budget)
+    spans = numbered(sources.where("whole > 0"), ["src_no"], "_place", {"ahead": F.col("target")}).withColumn("lo", F.col("ahead") / budget).withColumn("hi", F.col("lo") + F.col("target") / budget)
     spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1).cast("long")))))
     x = (F.col("slot") + 0.5) * F.lit(GOLDEN)
     points = spark.range(n).withColumnRenamed("id", "slot").withColumn("x", x - F.floor(x)).withColumn("cell", F.floor(F.col("x") * cells))
@@ -62,8 +61,8 @@ def slot_sources(sources: DataFrame, budget: float, slot_words: int) -> DataFram
     return running(slots, ["src_no"], "chunk", [F.col("slot")], rank="k").select("slot", "src_no", "k")
 
 
-def laid_out(docs: DataFrame, *, doc: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), budget_ratio: float = 1.5, max_epochs: int = 2, slot_words: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(documents, slots): every document with its place on its source's line, and the schedule's slots."""
+def laid_out(docs: DataFrame, *, doc: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), budget_ratio: float = 1.5, max_epochs: int = 2, slot_words: int = 4096, shuffle: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """(documents, slots): every document with its place on its source's line, and the schedule's slots. `shuffle` names what the hash is taken of."""
     sizes = cut(docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
     sources = cut(targets(sizes, weights, budget_ratio, max_epochs))
     rows, budget = sizes.count(), float(sources.agg(F.sum("target")).first()[0] or 0)
@@ -71,7 +70,7 @@ def laid_out(docs: DataFrame, *, doc: str = "doc_id", source: str = "source", te
     each = sources.join(slots.groupBy("src_no").agg(F.count(F.lit(1)).alias("n_slots")), "src_no", "left")
     each = each.select(F.col("source").alias("_source"), "src_no", "source_size", "target", "whole", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
     placed = sizes.join(each, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("unit", unit_hash(F.col("doc_id"), F.lit("mix"))).withColumn("bucket", even_buckets(F.col("unit"), rows))
+    placed = placed.withColumn("unit", unit_hash(*[F.col(c) for c in shuffle], F.lit("mix"))).withColumn("bucket", even_buckets(F.col("unit"), rows))
     placed = running(placed, ["src_no"], "bucket", [F.col("unit"), F.col("doc_id"), F.col("size")], F.col("size"), rank="place")
     return cut(placed.drop("unit", "bucket")), slots
 
@@ -97,10 +96,11 @@ def schedule(placed: DataFrame, slots: DataFrame, max_epochs: int = 2) -> DataFr
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """A row a document: size, its source's size and target, and the words that the schedule takes of it."""
+    """A row a document: size, its source's size and target, the words that the schedule's slots take of it, the first of those slots (null if none) and their number."""
     placed, slots = laid_out(docs, **how)
-    taken = schedule(placed, slots, how.get("max_epochs", 2)).groupBy("src_no", "place").agg(F.sum("length").alias("taken"))
-    return placed.join(taken, ["src_no", "place"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = schedule(placed, slots, how.get("max_epochs", 2)).groupBy("src_no", "place").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
+    rows = placed.drop("n_slots").join(taken, ["src_no", "place"], "left")
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -109,17 +109,24 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def sampled(docs: DataFrame, *, doc: str = "doc_id", source: str = "source", text: str = "text", n_chars: str | None = "n_chars", **how) -> DataFrame:
-    """The mix itself: the rows of `docs`, once an epoch that takes words of them, cut at the last word taken.
+    """The mix itself: the rows of `docs`, once an epoch that takes words of them, cut at the last word taken, in partitions by runs of slots and in slot order within them.
 
-    Rows are told apart by their id and, among equal ids, by a rank over their text's hash, so repeated rows stay separate.
+    Rows are told apart by a number given when they are written; the shuffle's hash is of the id and all columns, so repeated rows stay
+    separate and only they are interchangeable. Columns may have any name.
     """
-    order = Window.partitionBy(doc).orderBy(F.xxhash64(text, source), F.length(text))
-    rows = docs.withColumn("_row", F.struct(F.col(doc).alias("id"), F.row_number().over(order).alias("nth")))
-    placed, slots = laid_out(rows.select("_row", source, text), doc="_row", source=source, text=text, **how)
-    taken = schedule(placed, slots, how.get("max_epochs", 2)).groupBy("doc_id", "epoch").agg(F.sum("length").alias("_taken"))
-    taken = taken.join(placed.select("doc_id", "size"), "doc_id").select(F.col("doc_id").alias("_key"), "_taken", F.col("size").alias("_size"))
-    out = rows.join(taken, F.col("_row").eqNullSafe(F.col("_key")))
-    out = out.withColumn(text, F.when(F.col("_taken") < F.col("_size"), first_words(F.col(text), F.col("_taken"))).otherwise(F.col(text)))
+    spark = docs.sparkSession
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(whole).alias("hash"), F.monotonically_increasing_id().alias("row")).alias("key"), whole.alias("doc")))
+    inner = rows.select("key", "key.id", "key.hash", F.col("doc").getField(source).alias("source"), F.col("doc").getField(text).alias("text"))
+    placed, slots = laid_out(inner, doc="key", source="source", text="text", shuffle=("doc_id.id", "doc_id.hash"), **how)
+    taken = schedule(placed, slots, how.get("max_epochs", 2)).groupBy("src_no", "place", "doc_id", "epoch").agg(F.sum("length").alias("taken"), F.min("slot").alias("slot"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = (slots.agg(F.max("slot")).first()[0] or 0) + 1
+    taken = cut(taken.join(placed.select("src_no", "place", "size"), ["src_no", "place"]).select(F.col("doc_id.row").alias("_row"), "taken", "size", "slot", F.floor(F.col("slot") * parts / F.lit(last)).alias("part")))
+    out = rows.join(bounded(taken), F.col("key.row") == F.col("_row")).repartition(parts, "part").sortWithinPartitions("slot", "key")
+    body = F.col("doc").getField(text)
+    body = F.when(F.col("taken") < F.col("size"), first_words(body, F.col("taken"))).otherwise(body)
+    kept = {c: F.col("doc").getField(c) for c in docs.columns} | {text: body}
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(*docs.columns)
+        kept[n_chars] = F.length(body).cast(docs.schema[n_chars].dataType)
+    return out.select(*[c.alias(name) for name, c in kept.items()])

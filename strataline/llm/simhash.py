@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from strataline.plans.components import connected_components
-from strataline.session import cut
+from strataline.session import arrow_rows, bounded, cut, stored
 
 BITS, K, SHINGLE, SEED = 64, 4, 4, 42
 CELL, FAN, LEVELS, TREE_ROWS = 1024, 8, 3, 1 << 15
@@ -223,6 +223,8 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
 
 
 MIN_ROWS, MIN_BANDS = 5, 24
+#: Rows with a text or a shingle set that a Python worker gets at once.
+ROWS_AT_ONCE = 2000
 
 
 def shingles_of(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -302,60 +304,41 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def similar_rows(docs: DataFrame, first: list[Column], *, text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> DataFrame:
-    """Every row with a `_key` of its own, its order (`first`, then its place), and `_least`, the smallest key of its class.
+def similar_classes(docs: DataFrame, first: list[Column], *, text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): `docs` as written, a `row` number and the columns as `doc`; and for each row its `key`, its order (`first`, then its number), and `least`, the smallest key of its class.
 
     Rows are linked when their sets of word shingles have the Jaccard similarity, by exact comparison; classes are what links lead to. Equal
     sets are one code. Codes are compared when they share one of MIN_BANDS bands of MIN_ROWS minima of permuted hashes: `band_recall` is
     0.9999 at 0.8. A bucket's codes are compared with its smallest code first, which joins groups of near copies by rows in proportion to
     their size; codes that aren't alike to it are then compared with every code of the bucket, large buckets in cells.
+
+    Texts move once, those that share a band with another, to be cut into shingles; Python workers get `ROWS_AT_ONCE` rows at a time.
     """
+    spark = docs.sparkSession
     rng = np.random.default_rng(seed)
     factors = rng.integers(0, 1 << 63, (2, MIN_ROWS * MIN_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
     same = F.lit(0).cast("long")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    at = rows.columns.index(text)
+    # written once, so a row's number is fixed
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*first).alias("first"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    plain = rows.select("row", "first", F.col("doc").getField(text).alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             codes, bands = [], []
-            for t in batch.column(at):
+            for t in batch.column(2):
                 own = shingles_of(t.as_py(), shingle, seed)
                 codes.append(xxhash.xxh64_intdigest(own.tobytes()))
                 bands.append(min_bands(own, factors))
-            more = [pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_code", "_bands"])
-
-    kind = StructType([*rows.schema.fields, StructField("_code", LongType()), StructField("_bands", ArrayType(LongType()))])
-    rows = cut(rows.mapInArrow(prints, kind)).withColumn("_key", F.struct(*first, F.col("_row").alias("_row")))  # written once, so a row's place is fixed
-    codes = cut(rows.groupBy(F.col("_code").alias("code")).agg(F.min("_row").alias("row"), F.min("_key").alias("key"), F.any_value("_bands").alias("bands")))
-    banded = codes.select("code", F.posexplode("bands").alias("j", "v")).select("code", F.xxhash64("j", "v").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("centre")).where("n > 1")
-    met = cut(banded.join(shared.withColumn("band", F.col("band").bitwiseXOR(same)), "band"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["row", "first", "code", "bands"])
 
-    used = met.select("code").distinct().join(codes.select("code", "row"), "code").select("row")
-    texts = rows.select(F.col("_row").alias("row"), F.col("_code").alias("code"), F.col(text).alias("text")).join(used, "row").select("code", "text")
+    kind = StructType([*plain.drop("text").schema.fields, StructField("code", LongType()), StructField("bands", ArrayType(LongType()))])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles_of(t.as_py(), shingle, seed).tobytes() for t in batch.column(1)], pa.binary())], ["code", "shingles"])
 
-    sets = cut(texts.mapInArrow(cut_up, "code long, shingles binary"))
-    stars = cut(alike_pairs(met.where("code <> centre").select(F.col("centre").alias("src"), F.col("code").alias("dst")).distinct(), sets, similarity))
-    linked = stars.select(F.col("src").alias("centre"), F.col("dst").alias("code"), F.lit(True).alias("linked"))
-    parts = cut(met.join(linked, ["centre", "code"], "left").select("band", "code", "n", (F.col("linked").isNull() & (F.col("code") != F.col("centre"))).alias("loose")))
-    # of buckets with the same codes one is enough, and in a bucket of two the centre's pair is all
-    digest = [F.sum(F.xxhash64("code").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("code", F.lit(1))).alias("mix")]
-    open_ = parts.where("n > 2").groupBy("band").agg(F.first("n").alias("m"), F.max("loose").alias("any"), *digest).where("any")
-    open_ = open_.groupBy("m", "total", "mix").agg(F.min("band").alias("band")).select(F.col("band").bitwiseXOR(same).alias("band"))
-    left = parts.join(open_, "band").select(F.col("band").alias("key"), F.col("code").alias("fp"), "n", "loose")
-    small = left.where(F.col("n") <= cell).select("key", "fp", "loose")
-    left = small.unionByName(in_cells(left.where(F.col("n") > cell), cell).select("key", "fp", "loose"))
-    left = left.join(sets.select(F.col("code").bitwiseXOR(same).alias("fp"), "shingles"), "fp")
-    left = left.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").select("key", "fp", "loose", "shingles")
-
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(group: list) -> pa.RecordBatch:
             unique = list({fp: (loose, own) for fp, loose, own in group}.items())  # a cell may hold a code twice
@@ -365,25 +348,55 @@ def similar_rows(docs: DataFrame, first: list[Column], *, text: str = "text", si
 
         now, group = None, []
         for batch in batches:
-            for key, fp, loose, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, fp, loose, own in zip(*batch.columns, strict=True):
+                key = key.as_py()
                 if group and key != now:
                     yield solve(group)
                     group = []
                 now = key
-                group.append((fp, loose, own))
+                group.append((fp.as_py(), loose.as_py(), own.as_py()))
         if group:
             yield solve(group)
 
-    more = left.mapInArrow(compared, "src long, dst long")
-    parts = cut(connected_components(cut(stars.unionByName(more))))
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        keyed = cut(plain.mapInArrow(prints, kind).withColumn("key", F.struct("first", "row")).drop("first"))
+        codes = cut(keyed.groupBy("code").agg(F.min("row").alias("row"), F.min("key").alias("key"), F.any_value("bands").alias("bands")))
+        banded = codes.select("code", F.posexplode("bands").alias("j", "v")).select("code", F.xxhash64("j", "v").alias("band"))
+        shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("centre")).where("n > 1")
+        met = cut(banded.join(shared.withColumn("band", F.col("band").bitwiseXOR(same)), "band"))
+
+        used = cut(met.select("code").distinct().join(codes.select("code", "row"), "code").select(F.col("row").alias("_used"), "code"))
+        texts = plain.select("row", "text").join(bounded(used), F.col("row") == F.col("_used")).select("code", "text")
+        sets = stored(texts.mapInArrow(cut_up, "code long, shingles binary"))
+        stars = cut(alike_pairs(met.where("code <> centre").select(F.col("centre").alias("src"), F.col("code").alias("dst")).distinct(), sets, similarity))
+        linked = stars.select(F.col("src").alias("centre"), F.col("dst").alias("code"), F.lit(True).alias("linked"))
+        parts = cut(met.join(linked, ["centre", "code"], "left").select("band", "code", "n", (F.col("linked").isNull() & (F.col("code") != F.col("centre"))).alias("loose")))
+        # of buckets with the same codes one is enough, and in a bucket of two the centre's pair is all
+        digest = [F.sum(F.xxhash64("code").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("code", F.lit(1))).alias("mix")]
+        open_ = parts.where("n > 2").groupBy("band").agg(F.first("n").alias("m"), F.max("loose").alias("any"), *digest).where("any")
+        open_ = open_.groupBy("m", "total", "mix").agg(F.min("band").alias("band")).select(F.col("band").bitwiseXOR(same).alias("band"))
+        left = parts.join(open_, "band").select(F.col("band").alias("key"), F.col("code").alias("fp"), "n", "loose")
+        small = left.where(F.col("n") <= cell).select("key", "fp", "loose")
+        left = small.unionByName(in_cells(left.where(F.col("n") > cell), cell).select("key", "fp", "loose"))
+        left = left.join(sets.select(F.col("code").bitwiseXOR(same).alias("fp"), "shingles"), "fp")
+        left = left.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").select("key", "fp", "loose", "shingles")
+        linked = cut(stars.unionByName(left.mapInArrow(compared, "src long, dst long")))
+    parts = cut(connected_components(linked))
     classes = codes.join(parts, codes.code == parts.node, "left").select("code", "key", F.coalesce("component", "code").alias("root"))
-    least = classes.groupBy("root").agg(F.min("key").alias("_least")).withColumn("root", F.col("root").bitwiseXOR(same))
-    classes = cut(classes.join(least, "root").select(F.col("code").bitwiseXOR(same).alias("_of"), "_least"))
-    return rows.drop("_bands").join(classes, F.col("_code") == F.col("_of")).drop("_code", "_of")
+    least = classes.groupBy("root").agg(F.min("key").alias("least")).withColumn("root", F.col("root").bitwiseXOR(same))
+    classes = cut(classes.join(least, "root").select(F.col("code").bitwiseXOR(same).alias("_of"), "least"))
+    return rows, keyed.join(classes, F.col("code") == F.col("_of")).select("row", "key", "least")
+
+
+def deduplicated(docs: DataFrame, first: list[Column], **how) -> DataFrame:
+    """The row of `docs` with the smallest key of each class, with all its columns."""
+    rows, classes = similar_classes(docs, first, **how)
+    kept = cut(classes.where("key = least").select(F.col("row").alias("_kept")))
+    return rows.join(bounded(kept), F.col("row") == F.col("_kept")).select("doc.*")
 
 
 def similar_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> DataFrame:
     """(id, component_id) at a Jaccard similarity of word shingles that 64 bits can't tell apart: a row a row, the smallest id of its class."""
-    rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"))
-    found = similar_rows(rows, [F.col("id").isNull().alias("none"), F.col("id").alias("id")], similarity=similarity, shingle=shingle, seed=seed, cell=cell)
-    return found.select("id", F.col("_least.id").alias("component_id"))
+    order = [F.col(doc).isNull().alias("none"), F.col(doc).alias("id")]
+    _, classes = similar_classes(docs.select(doc, text), order, text=text, similarity=similarity, shingle=shingle, seed=seed, cell=cell)
+    return classes.select(F.col("key.first.id").alias("id"), F.col("least.first.id").alias("component_id"))
