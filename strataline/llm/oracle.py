@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from strataline.llm.backoff_lm import BACKOFF, MIN_PAIR
 from strataline.llm.bm25 import K1, TOP, B
-from strataline.llm.host_rules import HOST_LIMIT
+from strataline.llm.host_rules import HOST_LIMIT, HOST_MARGIN
 
 OP6 = rf"""
 WITH w AS (
@@ -29,8 +29,10 @@ WITH w AS (
   SELECT avg(f / n) AS mean, var_samp(f / n) AS v FROM hosts
 ), prior AS (
   SELECT mean, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, mean * (1 - mean) / v - 1)) ELSE 1000.0 END AS strength FROM moments
+), rates AS (
+  SELECT source, (f + mean * strength) / (n + strength) AS r, n + strength AS rows FROM hosts, prior
 ), verdicts AS (
-  SELECT source, (f + mean * strength) / (n + strength) > {HOST_LIMIT} AS rejected FROM hosts, prior
+  SELECT source, r - {HOST_MARGIN} * sqrt(r * (1 - r) / (rows + 1)) > {HOST_LIMIT} AS rejected FROM rates
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
