@@ -6,7 +6,9 @@ the sum of natural logarithms over its words.
 The counts are a table partitioned by n-gram hash. Documents are read once, in chunks of `CHUNK_WORDS` words; a chunk's exploded n-grams are
 aggregated before they move and travel as packed columns, one row a chunk, order and hash bucket, sorted by hash. In a bucket the rows of all
 chunks are merged into the count table and joined back with each chunk's n-grams; the counts return to the chunk, where its words are scored
-and summed by document. So no n-gram, however frequent, is more than one entry a chunk, and what is gathered grows with the input.
+and summed by document. So no n-gram, however frequent, is more than one entry a chunk, and what is gathered grows with the input. There are as
+many buckets as keep one to about `BUCKET_CHARS` characters of text, and a text longer than a chunk goes on in the next, with the last word before it
+as context, so a task's share grows with neither the corpus nor a text.
 
 Words are runs of characters other than ASCII white space. N-grams are told apart by 64-bit hashes. Defined results: null and empty texts
 have 0 words, score 0 and a null mean; repeated rows are scored alike and count each; an empty table gives an empty result.
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from strataline.session import cut
 
 BACKOFF, MIN_PAIR, CHUNK_WORDS = 0.4, 2, 500_000
+#: Characters of text whose n-grams make one hash bucket: some 8 MB as they travel.
+BUCKET_CHARS = 8_000_000
 WORDS, PAIRS, LAYOUT = 0, 1, 2
 
 
@@ -61,18 +65,26 @@ def pairs_of(words: np.ndarray, lengths: np.ndarray, kinds: int) -> tuple[np.nda
 
 
 def message_schema(kind: str) -> str:
-    return f"key long, kind int, chunk long, bucket int, hashes binary, counts binary, ids array<{kind}>"
+    return f"key long, kind int, chunk long, bucket int, hashes binary, counts binary, ids array<{kind}>, parts array<long>"
+
+
+def contexts(lengths: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+    """The places of first words that only give context: those of pieces that go on with a text."""
+    return (np.cumsum(lengths) - lengths)[goes_on.astype(bool)]
 
 
 def chunked(docs: DataFrame, doc: str, text: str, bits: int, chunk_words: int) -> DataFrame:
-    """A chunk's messages: its distinct words and pairs by hash bucket, and its layout (documents, lengths, words as numbers)."""
+    """A chunk's messages: its distinct words and pairs by hash bucket, and its layout (documents, lengths, words as numbers).
+
+    `parts` numbers the text that a piece is of, null for whole texts; twice a length, plus one where the piece goes on with a text, is in the layout.
+    """
     import xxhash
 
     kind = docs.schema[doc].dataType.simpleString()
     schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
     shift = np.uint64(64 - bits)
 
-    def messages(chunk: int, ids: pa.Array, words: list[bytes], lengths: list[int]) -> pa.RecordBatch:
+    def messages(chunk: int, ids: list, parts: list, goes_on: list[bool], words: list[bytes], lengths: list[int]) -> pa.RecordBatch:
         vocabulary: dict[bytes, int] = {}
         at = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
@@ -87,34 +99,43 @@ def chunked(docs: DataFrame, doc: str, text: str, bits: int, chunk_words: int) -
         pair_hashes = pair_hash(hashes[(codes // kinds).astype(np.int64)], hashes[(codes % kinds).astype(np.int64)])
         by_hash = np.argsort(pair_hashes, kind="stable")
         rows: dict[str, list] = {n: [] for n in schema.names}
-        for what, h, c in ((WORDS, hashes, np.bincount(at, minlength=len(hashes))), (PAIRS, pair_hashes[by_hash], pair_counts[by_hash])):
+        goes_on_ = np.array(goes_on, np.int64)
+        word_counts = np.bincount(at, minlength=len(hashes)) - np.bincount(at[contexts(lengths_, goes_on_)], minlength=len(hashes))
+        for what, h, c in ((WORDS, hashes, word_counts), (PAIRS, pair_hashes[by_hash], pair_counts[by_hash])):
             buckets = (h >> shift).astype(np.int64)
             cuts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(h) else np.zeros(0, np.int64)
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=False):
                 for name, value in zip(schema.names, (int(buckets[a]), what, chunk, int(buckets[a]), squeezed(differences(h[a:b])), squeezed(c[a:b])), strict=True):
                     rows[name].append(value)
-        for name, value in zip(schema.names, (~chunk, LAYOUT, chunk, 0, squeezed(at), squeezed(lengths_)), strict=True):
+        for name, value in zip(schema.names, (~chunk, LAYOUT, chunk, 0, squeezed(at), squeezed(2 * lengths_ + goes_on_)), strict=True):
             rows[name].append(value)
         n = len(rows["key"])
         offsets = pa.array([0] * n + [len(ids)], pa.int32())
-        return pa.RecordBatch.from_arrays([*[pa.array(rows[f.name], f.type) for f in schema], pa.ListArray.from_arrays(offsets, ids)], [*schema.names, "ids"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays(ids)), pa.ListArray.from_arrays(offsets, pa.array(parts, pa.int64()))]
+        return pa.RecordBatch.from_arrays([*[pa.array(rows[f.name], f.type) for f in schema], *lists], [*schema.names, "ids", "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId() << 32, 0
-        ids, words, lengths = [], [], []
+        task, n, serial = TaskContext.get().partitionId() << 32, 0, 0
+        ids, parts, goes_on, words, lengths = [], [], [], [], []
         for batch in batches:
-            begun = 0
             for row, t in enumerate(batch.column(1)):
-                own = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
-                words += own
-                lengths.append(len(own))
-                if len(words) >= chunk_words:
-                    ids.append(batch.column(0).slice(begun, row + 1 - begun))
-                    yield messages(task + n, pa.concat_arrays(ids), words, lengths)
-                    ids, words, lengths, begun, n = [], [], [], row + 1, n + 1
-            ids.append(batch.column(0).slice(begun))
+                own, at = (t.as_py() or "").encode("utf-8", "surrogatepass").split(), 0
+                part = None if len(own) <= chunk_words else task + serial
+                serial += 1
+                while at < len(own) or at == 0:
+                    begin = at - (at > 0)
+                    piece = own[begin : at + chunk_words]
+                    ids.append(batch.column(0).slice(row, 1))
+                    parts.append(part)
+                    goes_on.append(at > 0)
+                    words += piece
+                    lengths.append(len(piece))
+                    at += chunk_words
+                    if len(words) >= chunk_words:
+                        yield messages(task + n, ids, parts, goes_on, words, lengths)
+                        ids, parts, goes_on, words, lengths, n = [], [], [], [], [], n + 1
         if lengths:
-            yield messages(task + n, pa.concat_arrays(ids), words, lengths)
+            yield messages(task + n, ids, parts, goes_on, words, lengths)
 
     return docs.select(doc, text).mapInArrow(run, message_schema(kind))
 
@@ -150,6 +171,7 @@ def scores_of(min_pair: int, backoff: float):
         layout = rows(LAYOUT)[0]
         at = widened(chunk["hashes"][layout].as_py()).astype(np.int64)
         lengths = widened(chunk["counts"][layout].as_py()).astype(np.int64)
+        lengths, goes_on = lengths // 2, lengths % 2
         hashes, word_counts = gathered(WORDS, "hashes"), gathered(WORDS, "counts").astype(np.float64)
         kinds_n = np.uint64(max(1, len(hashes)))
         codes, places = pairs_of(at, lengths, int(kinds_n))
@@ -157,13 +179,15 @@ def scores_of(min_pair: int, backoff: float):
         order = np.argsort(pair_hash(hashes[(distinct // kinds_n).astype(np.int64)], hashes[(distinct % kinds_n).astype(np.int64)]), kind="stable")
         pair_counts = np.empty(len(distinct))
         pair_counts[order] = gathered(PAIRS, "counts")
-        value = np.log(word_counts[at])
+        context = contexts(lengths, goes_on)
+        value = np.log(np.maximum(word_counts[at], 1))
         alone = np.ones(len(at), bool)  # words scored without context: they still lack log N
         seen = pair_counts[inverse]
         known = seen >= min_pair
         value[places] += np.log(backoff)
         value[places[known]] = np.log(seen[known]) - np.log(word_counts[at[places[known] - 1]])
         alone[places[known]] = False
+        value[context], alone[context] = 0.0, False
         filled = lengths > 0
         starts = (np.cumsum(lengths) - lengths)[filled]
 
@@ -173,21 +197,27 @@ def scores_of(min_pair: int, backoff: float):
                 out[filled] = np.add.reduceat(v, starts)
             return out
 
-        ids = chunk["ids"].combine_chunks()
-        ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids)[layout].values
-        return pa.table({"doc_id": ids, "n_words": pa.array(lengths), "raw": pa.array(sums(value)), "n_alone": pa.array(sums(alone.astype(float)).astype(np.int64))})
+        def held(name: str) -> pa.Array:
+            column = chunk[name].combine_chunks()
+            return (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)[layout].values
+
+        return pa.table({"doc_id": held("ids"), "part": held("parts"), "n_words": pa.array(lengths - goes_on), "raw": pa.array(sums(value)), "n_alone": pa.array(sums(alone.astype(float)).astype(np.int64))})
 
     return run
 
 
-def scored(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", min_pair: int = MIN_PAIR, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def scored(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", min_pair: int = MIN_PAIR, backoff: float = BACKOFF, chunk_words: int = CHUNK_WORDS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, n_words, n_backoff (words scored by their own count), log_score and mean_log for every row."""
     spark = docs.sparkSession
     kind = docs.schema[doc].dataType.simpleString()
-    bits = min(24, max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    bits = min(24, max(4, (chars // bucket_chars).bit_length()))
     messages = chunked(docs, doc, text, bits, chunk_words)
     counted = messages.groupBy("key").applyInArrow(joined, message_schema(kind))
-    rows = cut(counted.groupBy("chunk").applyInArrow(scores_of(min_pair, backoff), f"doc_id {kind}, n_words long, raw double, n_alone long"))
+    rows = cut(counted.groupBy("chunk").applyInArrow(scores_of(min_pair, backoff), f"doc_id {kind}, part long, n_words long, raw double, n_alone long"))
+    sums = [F.sum(c).alias(c) for c in ("n_words", "raw", "n_alone")]
+    pieces = rows.where(F.col("part").isNotNull()).groupBy("part").agg(F.first("doc_id").alias("doc_id"), *sums).drop("part")
+    rows = rows.where(F.col("part").isNull()).drop("part").unionByName(pieces)
     total = rows.agg(F.sum("n_words")).first()[0] or 1
     score = F.col("raw") - F.col("n_alone") * F.log(F.lit(float(total)))
     return rows.select("doc_id", "n_words", F.col("n_alone").alias("n_backoff"), score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log"))
