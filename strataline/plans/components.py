@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.session import cut
+from strataline.session import stored
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component) for every node with an edge; component is the smallest node id reachable. Ids are longs; null ends are dropped."""
     e = edges.select(F.greatest(F.col(src), F.col(dst)).alias("u"), F.least(F.col(src), F.col(dst)).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     loops = e.where("u = v").select("u")
-    e = cut(e.where("u <> v").distinct())
+    # files tell their own size: a checkpoint would carry the plan's estimate, which joins square from round to round
+    e = stored(e.where("u <> v").distinct())
     nodes = e.select("u").union(e.select(F.col("v").alias("u"))).union(loops).distinct()
     seen = None
     for _ in range(max_rounds):
@@ -29,7 +30,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.join(_minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         minima = _minima(large)
         small = large.join(minima, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(minima.select("u", F.col("m").alias("v"))).distinct())
+        e = stored(small.union(minima.select("u", F.col("m").alias("v"))).distinct())
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
