@@ -27,6 +27,8 @@ FAMILY_TERMS = (
     "pheromone", "frizzled", "purinoceptor", "odorant", "tastant", "7tm_gpcr_serpentine", "serpentine", "transmembrane 7 superfamily member", "G_PROTEIN_RECEP",
     "Gustatory", "OPSD", "CHEMOKINE RECEPTOR", "G PROTEIN-COUPLED", "FOLLICLE-STIMULATING HORMONE RECEPTOR", "CRE-SRX-10 PROTEIN", "-SRX", "GLUCOSE RECEPTOR", "GCR",
 )
+ANYWHERE = {"archaea": ("archaea", "archaeota"), "bacteria": ("bacteria",), "eukaryota": ("eukaryota", "eukaryote", "eukaryotic", "eukarya")}
+SEVEN_TM_TERMS = ("7TM_GPCR", "7TM GPCR", "7TM-GPCR", "7TM_GPCR_SERPENTINE")
 SEVEN_TM = r"\b7TM[_\-\s]?GPCR(?:\b|[_\-\s][A-Z0-9_]+)*"
 IONIZABLE = ("ASP", "GLU", "HIS", "CYS", "LYS", "ARG", "MLY", "MLZ", "M3L")
 POLAR = ("ASN", "GLN", "SER", "THR", "TYR", "TRP")
@@ -109,18 +111,17 @@ def term_pattern(term: str) -> str:
     t = term.strip().upper()
     if t == "GCR":
         return r"\bGCR-?\d+\b"
-    if t.startswith("7TM"):
+    if t in SEVEN_TM_TERMS:
         return SEVEN_TM
-    if re.fullmatch(r"[A-Z0-9]{2,6}", t):
+    if re.fullmatch(r"[A-Z0-9_]{2,6}", t):
         return rf"\b{t}\b"
     return "".join(ch if ch.isalnum() or ch in " _" else "\\" + ch for ch in t)
 
 
 def in_family(c: Column, terms: Sequence[str]) -> Column:
     """Whether the upper-cased text matches any term; no terms match nothing. Never null."""
-    if not terms:
-        return F.lit(False)
-    return F.coalesce(F.upper(c).rlike("|".join(dict.fromkeys(map(term_pattern, terms)))), F.lit(False))
+    patterns = dict.fromkeys(term_pattern(t) for t in terms if t.strip())
+    return F.coalesce(F.upper(c).rlike("|".join(patterns)), F.lit(False)) if patterns else F.lit(False)
 
 
 def haystack(columns: Sequence[str]) -> Column:
@@ -128,13 +129,14 @@ def haystack(columns: Sequence[str]) -> Column:
 
 
 def domain_of(c: Column) -> Column:
-    """archaea, bacteria, eukaryota or other: the first word of the first | field if it's a synonym, else the first of the three named anywhere."""
-    lead = F.split_part(strip_all(F.split_part(F.lower(c), F.lit("|"), F.lit(1))), F.lit(" "), F.lit(1))
+    """archaea, bacteria, eukaryota or other: the first word of the first | field if it's a synonym, else the first of the three that is named anywhere."""
+    low = F.lower(strip_all(F.regexp_replace(c, "^>+", "")))
+    lead = F.regexp_extract(F.split_part(low, F.lit("|"), F.lit(1)), r"^(?U)\s*(\S+)", 1)
     chain = None
     for name, words in DOMAIN_SYNONYMS.items():
         chain = F.when(lead.isin(*words), name) if chain is None else chain.when(lead.isin(*words), name)
-    for name in ("archaea", "bacteria", "eukaryota"):
-        chain = chain.when(F.contains(F.lower(c), F.lit(name)), name)
+    for name, words in ANYWHERE.items():
+        chain = chain.when(low.rlike("|".join(words)), name)
     return chain.otherwise("other")
 
 

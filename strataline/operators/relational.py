@@ -179,12 +179,13 @@ def hit_class(n_truncation: Column, c_truncation: Column, has_gaps: Column, gap_
 
 
 def burial(distances: DataFrame, key: str, distance: str, core: float = -3.0, margin: float = -2.0) -> DataFrame:
-    """(key, burial, mean): core -1, margin 0 or exposed 1 from a vertex's signed distances to the surface."""
+    """(key, burial, mean): core -1, margin 0 or exposed 1 from a vertex's signed distances to the surface. The least distance is that without signs; it stands for the mean where it decides."""
     d = F.col(distance)
-    agg = distances.groupBy(key).agg(F.avg(d).alias("mean"), F.min(d).alias("lo"), (F.max(d) - F.min(d)).alias("spread"), F.avg((d < core).cast("int")).alias("below"))
+    agg = distances.groupBy(key).agg(F.avg(d).alias("mean"), F.min(F.abs(d)).alias("lo"), (F.max(d) - F.min(d)).alias("spread"), F.avg((d < core).cast("int")).alias("below"))
     deep = F.when(F.col("below") > 0.6, -1).when(F.col("spread") > 5.0, 1).otherwise(-1)
     near = F.when((F.col("mean") < 0) | (F.col("lo") <= margin), 0).otherwise(1)
-    return agg.select(key, F.when(F.col("mean") <= core, deep).when(F.col("mean") <= margin, near).when(F.col("lo") <= margin, 0).otherwise(1).alias("burial"), "mean")
+    by_least = (F.col("mean") > margin) & (F.col("mean") > core) & (F.col("lo") <= margin)
+    return agg.select(key, F.when(F.col("mean") <= core, deep).when(F.col("mean") <= margin, near).when(by_least, 0).otherwise(1).alias("burial"), F.when(by_least, F.col("lo")).otherwise(F.col("mean")).alias("mean"))
 
 
 def rank_order() -> list[Column]:
@@ -198,10 +199,10 @@ def skip_reason(name: Column, rank: Column, wanted: Sequence[int]) -> Column:
 
 
 def sequence_columns(df: DataFrame, sample: int = 200) -> list[str]:
-    """Columns that hold protein sequences: by name, or 80 % of the first rows' values are 60 or more residue letters."""
+    """Columns that hold protein sequences: by name, or 80 % of the values in `sample` rows are 60 or more residue letters. The rows are those of smallest hash, so reruns agree."""
     named = [c for c in df.columns if c.lower() in ("sequence", "seq", "aa_sequence", "protein_sequence")]
     others = [c for c, t in df.dtypes if t == "string" and c not in named]
-    looks = df.limit(sample).agg(*[F.avg(F.coalesce(F.col(c).rlike(r"^[ACDEFGHIKLMNPQRSTVWYBXZJUO*]{60,}$"), F.lit(False)).cast("int")).alias(c) for c in others]).first() if others else {}
+    looks = df.select(*others).orderBy(F.xxhash64(*others), *others).limit(sample).agg(*[F.avg(F.coalesce(F.col(c).rlike(r"^[ACDEFGHIKLMNPQRSTVWYBXZJUO*]{60,}$"), F.lit(False)).cast("int")).alias(c) for c in others]).first() if others else {}
     return named + [c for c in others if (looks[c] or 0) >= 0.8]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import text as T
+from strataline.plans.ordering import numbered
 
 
 def lines(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -158,14 +159,30 @@ def flat_entries(rows: DataFrame) -> DataFrame:
     return kept.groupBy("file", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n").alias("text")).where(T.strip_all(F.col("text")) != "")
 
 
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """As `flat_entries`, of files read by the records' end: a file of any size is split among tasks. Blocks ascend with the file."""
+    rows = spark.read.option("lineSep", "\n//\n").text(resolve(spark, path))
+    text = F.regexp_replace("value", r"(?m)^//.*\n?", "")  # a record that the end of the file or another end of line ends
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("block"), F.rtrim(text, F.lit("\n")).alias("text")).where(T.strip_all(F.col("text")) != "")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, header, seq) of files read by the headers' mark: a file of any size is split among tasks; what stands before a file's first header is ignored."""
+    rows = spark.read.option("lineSep", "\n>").text(resolve(spark, path)).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("block"), "value")
+    first = rows.groupBy("file").agg(F.min("block").alias("block"), F.min_by(~F.col("value").startswith(">"), "block").alias("_before")).where("_before")  # one row a file
+    lines = F.split(F.regexp_replace("value", "^>", ""), r"\r?\n")
+    records = rows.join(first, ["file", "block"], "left_anti")
+    return records.select("file", "block", F.get(lines, F.lit(0)).alias("header"), F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), T.strip_all), "").alias("seq"))
+
+
 def entry_fields(entries: DataFrame) -> DataFrame:
     """The fields of annotation records."""
     x = F.col("text")
     found = lambda p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
     joined = lambda key: F.array_join(F.regexp_extract_all(x, F.lit(rf"(?m)^{key}   (.*)$"), F.lit(1)), " ")
     lineage = T.clean_list(F.regexp_replace(joined("OC"), r"\.\s*$", ""))
-    accessions = T.clean_list(joined("AC"))
-    gene = F.regexp_replace(found(r"(?m)^GN   .*?Name=([^;{]+)"), r"\s.*$", "")
+    accessions = F.filter(T.clean_list(joined("AC")), lambda a: a.rlike(f"^{T.ACCESSION}$"))
+    gene = T.first_token(found(r"(?m)^GN   .*?Name=([^;{]+)"), (",", " "))
     sequence = F.regexp_extract(x, r"(?s)\nSQ   [^\n]*\n(.*)$", 1)
     return entries.select(
         "file", "block",
@@ -187,11 +204,10 @@ def fasta(rows: DataFrame, last_of_id: bool = False) -> DataFrame:
     return keyed.groupBy("id").agg(F.max_by(F.struct("file", "block", "header", "seq"), F.struct("file", "block")).alias("r")).select("r.*", "id")
 
 
-def chunk_number(order: Sequence[str], chunks: int) -> Column:
-    """Chunk of whole records: equal numbers but for the last chunk, 0-based."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    per = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / chunks)
-    return F.least(F.floor(place / per), F.lit(chunks - 1)).cast("int")
+def in_chunks(records: DataFrame, order: Sequence[str], chunks: int, name: str = "chunk") -> DataFrame:
+    """Adds the chunk of each record: equal numbers of whole records but for the last chunk, 0-based."""
+    per = max(1, -(-records.count() // chunks))
+    return numbered(records, order, "_place").withColumn(name, F.least(F.floor(F.col("_place") / per), F.lit(chunks - 1)).cast("int")).drop("_place")
 
 
 # ---- structures ------------------------------------------------------------------------------------------------------------------
