@@ -346,3 +346,18 @@ def external(rows: DataFrame, schema: str, tool) -> DataFrame:
             yield tool(pdf)
 
     return rows.mapInPandas(run, schema)
+
+
+def only_one(**inputs):
+    """(name, value) of the one input that is given; tools that read a file, a list file or a list take exactly one of them."""
+    given = [(k, v) for k, v in inputs.items() if v is not None]
+    if len(given) != 1:
+        raise ValueError(f"exactly one of {', '.join(inputs)} must be given")
+    return given[0]
+
+
+def stale(spark, source: str, index: str) -> bool:
+    """Whether a search index must be built again: it isn't there, or its source has changed since, by Spark's own file system."""
+    at = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, index)]
+    fs = [p.getFileSystem(spark._jsc.hadoopConfiguration()) for p in at]
+    return not fs[1].exists(at[1]) or fs[0].getFileStatus(at[0]).getModificationTime() > fs[1].getFileStatus(at[1]).getModificationTime()

@@ -6,15 +6,18 @@ Edge tables are plain DataFrames. Everything that is order-free is relational; t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.plans.components import connected_components
-from strataline.session import cut
+from strataline.session import cut, stored
 
 INFINITE = float("inf")
+#: Edges of a component that one task solves alone.
+GROUP_EDGES = 1_000_000
 
 
 # ---- edges -----------------------------------------------------------------------------------------------------------------------
@@ -95,20 +98,24 @@ def bfs_walk(edges: DataFrame, root, max_depth: int | None = None) -> DataFrame:
     out = cut(both_ways(edges.select("a", "b", "weight", "evalue")))
     finite = F.when(F.col("evalue").isNull() | F.isnan("evalue"), F.lit(INFINITE)).otherwise(F.col("evalue"))
     level = spark.createDataFrame([(root, None, None, 0, 0)], f"node {kind}, parent {kind}, weight double, depth int, ord long")
-    seen = level
+    levels, before = [level], level.limit(0)
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        reach = out.join(level.select(F.col("node").alias("src"), "ord"), "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        # edges go both ways, so a level's neighbours are new or in one of the last two levels
+        near = level.select(F.col("node").alias("dst")).union(before.select("node"))
+        reach = out.join(level.select(F.col("node").alias("src"), "ord"), "src").join(near, "dst", "left_anti")
         best = F.min(F.struct(F.col("ord").alias("parent_ord"), (-F.col("weight")).alias("minus"), finite.alias("ev"), F.col("src").alias("parent"))).alias("best")
         found = reach.groupBy(F.col("dst").alias("node")).agg(best)
         keys = ["best.parent_ord", "best.minus", "best.ev", "node"]
         ordered = found.repartitionByRange(*keys).sortWithinPartitions(*keys)  # ids that ascend with the partitions keep the queue's order
-        level = cut(ordered.select("node", F.col("best.parent").alias("parent"), (-F.col("best.minus")).alias("weight"), F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")))
+        before, level = level, cut(ordered.select("node", F.col("best.parent").alias("parent"), (-F.col("best.minus")).alias("weight"), F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("ord")))
         if not level.take(1):
             break
-        seen = cut(seen.union(level))
-    return seen.drop("ord")
+        levels.append(level)
+        if len(levels) > 32:  # a long chain of levels: written together once in a while
+            levels = [cut(reduce(DataFrame.union, levels))]
+    return reduce(DataFrame.union, levels).drop("ord")
 
 
 def reachable(edges: DataFrame, predicate: Column | None = None) -> DataFrame:
@@ -163,8 +170,9 @@ def layered_layout(nodes: DataFrame, depth: str = "depth", degree: str = "degree
 def select_components(sizes: DataFrame, budget: int, cap: int) -> DataFrame:
     """The largest components until the budget is met, each with its proportional share of it, held to 1..cap.
 
-    `sizes` has component and size. A component is taken while those before it have not met the budget.
+    `sizes` has component and size. A component is taken while those before it have not met the budget, so at most `budget` of the largest can be.
     """
+    sizes = sizes.orderBy(F.desc("size"), "component").limit(budget)
     order = Window.orderBy(F.desc("size"), "component").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = sizes.withColumn("_ahead", F.sum("size").over(order) - F.col("size")).where(F.col("_ahead") < budget).drop("_ahead")
     total = F.sum("size").over(Window.partitionBy(F.lit(1)))
@@ -203,31 +211,41 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return rows[keep]
 
 
-def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
-    """The edges (a, b, weight, component) of every component's maximum spanning tree, one component a group."""
+def maximum_spanning_forest(edges: DataFrame, group_edges: int = GROUP_EDGES) -> DataFrame:
+    """The edges (component, a, b, weight) of every component's maximum spanning tree, ties in weight by ends.
+
+    Components of at most `group_edges` edges are solved one a group; larger ones together, by rounds.
+    """
     columns = edges.select("component", "a", "b", "weight")
-    return columns.groupBy("component").applyInPandas(_forest, columns.schema)
+    sizes = cut(columns.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_edges))
+    small = columns.join(sizes, "component", "left_anti").groupBy("component").applyInPandas(_forest, columns.schema)
+    if not sizes.take(1):
+        return small
+    large = columns.join(sizes.select("component"), "component")
+    ends = large.select("component", F.col("a").alias("_node")).distinct()  # every edge has its first end here
+    rounds = spanning_forest_by_rounds(large).join(ends, F.col("a") == F.col("_node")).select("component", "a", "b", "weight")
+    return small.unionByName(rounds)
 
 
-def spanning_forest_by_rounds(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """The same forest without grouping: every part takes its best edge, parts merge, and so on (for components beyond one task).
+def spanning_forest_by_rounds(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(a, b, weight): the same forest without grouping: every part takes its best edge, parts merge, and so on (for components beyond one task).
 
     Edges are ordered by (weight falling, a, b), so no two are equal and the forest is that of Kruskal's order.
     """
-    live = cut(edges.select("a", "b", "weight", F.col("a").alias("pa"), F.col("b").alias("pb")))
+    live = stored(edges.select("a", "b", "weight", F.col("a").alias("pa"), F.col("b").alias("pb")))
     chosen = None
     for _ in range(max_rounds):
         ends = live.select(F.explode(F.array("pa", "pb")).alias("part"), "a", "b", "weight", "pa", "pb")
         best = ends.groupBy("part").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.col("a").alias("a"), F.col("b").alias("b"), F.col("pa").alias("pa"), F.col("pb").alias("pb"))).alias("e"))
-        picked = cut(best.select("e.a", "e.b", (-F.col("e.w")).alias("weight"), "e.pa", "e.pb").distinct())
-        chosen = picked.select("a", "b", "weight") if chosen is None else cut(chosen.union(picked.select("a", "b", "weight")).distinct())
+        picked = stored(best.select("e.a", "e.b", (-F.col("e.w")).alias("weight"), "e.pa", "e.pb").distinct())
+        chosen = picked.select("a", "b", "weight") if chosen is None else stored(chosen.union(picked.select("a", "b", "weight")).distinct())
         if not picked.take(1):
-            break
+            return chosen
         merged = connected_components(picked, "pa", "pb")
         to = lambda c: merged.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))  # noqa: E731, B023
         live = live.join(to("pa"), "pa", "left").join(to("pb"), "pb", "left")
-        live = cut(live.select("a", "b", "weight", F.coalesce("_pa", "pa").alias("pa"), F.coalesce("_pb", "pb").alias("pb")).where("pa <> pb"))
-    return chosen
+        live = stored(live.select("a", "b", "weight", F.coalesce("_pa", "pa").alias("pa"), F.coalesce("_pb", "pb").alias("pb")).where("pa <> pb"))
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def node_scores(edges: DataFrame, top: int = 3) -> DataFrame:
@@ -238,7 +256,10 @@ def node_scores(edges: DataFrame, top: int = 3) -> DataFrame:
 
 
 def prune_to_cap(forest: DataFrame, scores: DataFrame, caps: DataFrame) -> DataFrame:
-    """Forest edges left after the lowest-scored leaves (ties by id) go, one by one, until a component is at its cap."""
+    """Forest edges left after the lowest-scored leaves (ties by id) go, one by one, until a component is at its cap; a component may hold several trees.
+
+    The order of removal is a component's own, so its forest, one row a node at most, is what one task holds.
+    """
     rows = forest.join(caps.select("component", "cap"), "component")
     for end in ("a", "b"):
         rows = rows.join(scores.select(F.col("node").alias(end), F.col("score").alias(f"score_{end}")), end, "left")
@@ -257,9 +278,9 @@ def prune_to_cap(forest: DataFrame, scores: DataFrame, caps: DataFrame) -> DataF
         cap = int(pdf["cap"].iloc[0])
         while len(near) > cap and heap:
             _, n = heapq.heappop(heap)
-            for other in near.pop(n):
+            for other in near.pop(n, ()):  # the last two nodes of a tree stand in the heap twice
                 near[other].discard(n)
-                if len(near[other]) <= 1:
+                if len(near[other]) == 1:
                     heapq.heappush(heap, (score[other], other))
         return pdf[pdf["a"].isin(near.keys()) & pdf["b"].isin(near.keys())][["component", "a", "b", "weight"]]
 
@@ -267,7 +288,13 @@ def prune_to_cap(forest: DataFrame, scores: DataFrame, caps: DataFrame) -> DataF
 
 
 def extra_edges(edges: DataFrame, backbone: DataFrame, per_node: int = 1) -> DataFrame:
-    """Backbone edges and, node by node in id order, up to `per_node` more of its heaviest ones between nodes of the backbone."""
+    """Backbone edges and, node by node in id order, up to `per_node` more of its heaviest ones between nodes of the backbone.
+
+    Edges with an end outside the backbone go before components are grouped, so a group is bounded by the component's cap.
+    """
+    inside = backbone.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    for end in ("a", "b"):
+        edges = edges.join(inside.withColumnRenamed("node", end), end, "left_semi")
     marked = edges.select("component", "a", "b", "weight").join(backbone.select("a", "b", F.lit(1).alias("is_backbone")), ["a", "b"], "left").withColumn("is_backbone", F.coalesce("is_backbone", F.lit(0)))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -381,6 +408,15 @@ def mixing_summary(mixed: DataFrame) -> DataFrame:
     return out.withColumns({"mixed_fraction": F.col("mixed_vertices") / F.col("vertices"), "same_fraction": F.col("same_vertices") / F.col("vertices")})
 
 
+def ranked(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """Adds place, 1 for the largest value, ties by key: rows of one value are ranked together and the values' counts summed ahead of them."""
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))  # a row a distinct value
+    ahead = Window.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.select("_v", (F.sum("_c").over(ahead) - F.col("_c")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(value).orderBy(key)) + F.col("_before")
+    return rows.join(before, F.col(value) == F.col("_v")).withColumn("place", place.cast("int")).drop("_v", "_before")
+
+
 def clustered(edges: DataFrame, max_distance: float, min_size: int) -> DataFrame:
     """(node, component, size): components over edges shorter than the cutoff with at least `min_size` nodes."""
     parts = cut(connected_components(edges.where(F.col("distance") < max_distance), "a", "b"))

@@ -1,7 +1,7 @@
 """Spatial joins on grid cells, and what is built from them.
 
-Points within r of each other lie in the same or neighbouring cells of size r: the smaller side is copied to its 27 neighbour cells, the sides meet
-in an equi-join on the cell, and the exact predicate follows. No pair of far points is formed, and a dense cell is a join key that adaptive
+Points within r of each other lie in the same or neighbouring cells of size r: the right side is copied to its 27 neighbour cells, the sides meet
+in an equi-join on the cell, and the exact predicate follows; callers put the smaller side on the right. No pair of far points is formed, and a dense cell is a join key that adaptive
 execution can split.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import geometry as G
+from strataline.session import cut
 
 
 def cell(c: str, size: float) -> Column:
@@ -49,17 +50,21 @@ def interfaces(residues: DataFrame, radius: float = 8.0, classes: tuple[int, ...
     return pairs.groupBy("chain", F.col("r_chain").alias("other")).agg(F.count(F.lit(1)).alias("contacts"), F.countDistinct("id").alias("residues"), F.min("distance").alias("nearest"))
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """(key, nearest, distance): the nearest right row of each left row within the radius, ties by id; a doubled radius serves the rest."""
+def nearest(left: DataFrame, right: DataFrame, radius: float, key: str = "id", coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """(key, nearest, distance): the nearest right row of each left row, ties by id; rows without one within the radius are looked for within twice that, and so on.
+
+    The radius ends beyond the diagonal of what both sides span, where every row has found its own; an empty right side gives an empty result.
+    """
     best = lambda pairs: pairs.groupBy(key).agg(F.min(F.struct("distance", F.col(f"r_{key}").alias("nearest"))).alias("b")).select(key, "b.nearest", "b.distance")
-    done, rest = None, left
-    for k in range(12):
-        found = best(within(rest, right, radius * 2**k))
-        done = found if done is None else done.union(found)
-        rest = rest.join(found.select(key), key, "left_anti")
-        if not rest.take(1):
-            break
-    return done
+    ends = left.select(*coords).union(right.select(*coords)).agg(*[F.max(c) - F.min(c) for c in coords]).first()
+    reach, done, rest = sum(float(e or 0) ** 2 for e in ends) ** 0.5, None, left
+    while True:
+        found = cut(best(within(rest, right, radius)))
+        done = found if done is None else cut(done.union(found))
+        rest = cut(rest.join(found.select(key), key, "left_anti"))
+        if radius > reach or not rest.take(1):
+            return done
+        radius *= 2
 
 
 def contact_counts(points: DataFrame, radius: float = 8.0, apart: int = 2) -> DataFrame:
@@ -83,11 +88,16 @@ def chain_distances(edges: DataFrame, atoms: DataFrame, fuzzy: tuple[str, ...] =
     return j.groupBy("a", "b").agg(F.min(G.distance(F.col("p_a"), F.col("p_b")) - fuzz).alias("distance"))
 
 
-def inside_hull(points: DataFrame, facets: DataFrame, swell: float = 0.0) -> DataFrame:
-    """Points beneath every facet of a convex hull, moved out by `swell`. `facets` has an outward plane; a hull's facets are few and bounded by it."""
-    j = points.join(F.broadcast(facets.select("plane")))
-    held = j.withColumn("_d", G.plane_distance(F.struct("x", "y", "z"), F.col("plane"))).groupBy("id").agg(F.max("_d").alias("_d"))
-    return points.join(held.where(F.col("_d") <= swell + G.TOLERANCE).select("id"), "id", "left_semi")
+def hull_distances(points: DataFrame, facets: DataFrame, on: str) -> DataFrame:
+    """(points' columns, plane, distance): every point with the facets of its own hull (equal `on`), and its signed distance to their planes; outside is positive."""
+    planes = facets.select(on, "plane")
+    return points.join(planes, on).withColumn("distance", G.plane_distance(F.struct("x", "y", "z"), F.col("plane")))
+
+
+def inside_hull(points: DataFrame, facets: DataFrame, on: str, swell: float = 0.0) -> DataFrame:
+    """Points beneath every facet of their hull (equal `on`), moved out by `swell`. `facets` has an outward plane; a point without a hull is in none."""
+    held = hull_distances(points, facets, on).groupBy(on, "id").agg(F.max("distance").alias("_d"))
+    return points.join(held.where(F.col("_d") <= swell + G.TOLERANCE).select(on, "id"), [on, "id"], "left_semi")
 
 
 def terminal_atoms(atoms: DataFrame, wanted: DataFrame) -> DataFrame:

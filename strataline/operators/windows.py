@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.plans.ordering import numbered
+
 
 def _ordered(group: Sequence[str], order: str):
     return Window.partitionBy(*group).orderBy(order)
@@ -117,15 +119,14 @@ def renumbered(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Dat
     return df.withColumn("number", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
-def even_split(order: Sequence[str], parts: int) -> Column:
-    """Part i holds rows [i L / parts, (i + 1) L / parts)."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    return F.floor(((place + 1) * parts - 1) / n).cast("int")
+def even_split(df: DataFrame, order: Sequence[str], parts: int, name: str = "part") -> DataFrame:
+    """Adds the part of each row: part i holds rows [i L / parts, (i + 1) L / parts) in order."""
+    n = df.count()
+    return numbered(df, order, "_place").withColumn(name, F.floor(((F.col("_place") + 1) * parts - 1) / max(1, n)).cast("int")).drop("_place")
 
 
-def round_robin(order: Sequence[str], parts: int) -> Column:
-    return ((F.row_number().over(Window.orderBy(*order)) - 1) % parts).cast("int")
+def round_robin(df: DataFrame, order: Sequence[str], parts: int, name: str = "turn") -> DataFrame:
+    return numbered(df, order, "_place").withColumn(name, (F.col("_place") % parts).cast("int")).drop("_place")
 
 
 def path_length(df: DataFrame, group: Sequence[str], order: str, x: str, y: str) -> DataFrame:

@@ -7,9 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.functions import text as T
+from strataline.plans.ordering import numbered
+
 # fixed values: column order of merged tables
 MERGED_PREFIX = ("rank", "tm", "coverage", "type", "protein", "gene", "protein_existence", "superkingdom", "organism", "lineage", "primary_accession", "interpro_ids", "source", "status", "id_line", "sequence_aa")
 
+IDENTITY_COLUMNS = (
+    "Traceback Depth", "Sequence 1", "Sequence 2", "Full Matches (*)", "Strong Similar (:)", "Weak Similar (.)", "Total Identity (Effective)", "Raw Identity (Effective) (%)", "Strong Identity (Effective) (%)",
+    "Weak Identity (Effective) (%)", "Total Identity (Seq1 Norm)", "Raw Identity (Seq1 Norm) (%)", "Strong Identity (Seq1 Norm) (%)", "Weak Identity (Seq1 Norm) (%)", "Alignment Length (Effective)", "Seq1 Sequence Length", "Seq2 Sequence Length",
+)
+
 
 def write_table(df: DataFrame, path: str, order: Sequence[Column] = (), sep: str = "\t", single: bool = False, gzip: bool = False, rows_a_file: int | None = None) -> None:
     """A header, nulls as nothing, in order; `single` makes one file, `rows_a_file` rolls over."""
@@ -64,10 +72,54 @@ def pdb_line() -> Column:
 
 def conect_lines(networks: DataFrame) -> DataFrame:
     """(place, line): CONECT records of network edges (component, a, b), larger networks first."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("component"))
-    rows = networks.withColumn("_size", size)
-    place = F.row_number().over(Window.orderBy(F.desc("_size"), "component", "a", "b"))
-    return rows.select(place.alias("place"), F.format_string("CONECT%5d%5d", "a", "b").alias("line"))
+    sizes = networks.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
+    rows = numbered(networks.join(sizes, "component"), [F.desc("_size"), F.col("component"), F.col("a"), F.col("b")])
+    return rows.select((F.col("place0") + 1).alias("place"), F.format_string("CONECT%5d%5d", "a", "b").alias("line"))
+
+
+def identity_table(metrics: DataFrame, depth: str, one: str, two: str, a: str = "aligned1", b: str = "aligned2") -> DataFrame:
+    """The identity report of aligned pairs with their metrics, in its 17 columns; shares are of the gap-free length and of the shorter sequence."""
+    share = lambda c, of: F.when(F.col(of) > 0, F.round(100.0 * F.col(c) / F.col(of), 1)).otherwise(0.0)
+    total = lambda of: F.round(share("identical", of) + share("strong", of) + share("weak", of), 1)
+    bare = lambda c: F.length(F.regexp_replace(c, "-", "")).cast("long")
+    values = [F.col(depth), F.col(one), F.col(two), F.col("identical"), F.col("strong"), F.col("weak")]
+    for of in ("compared", "shorter"):
+        values += [total(of), *[share(c, of) for c in ("identical", "strong", "weak")]]
+    return metrics.select(*[v.alias(name) for v, name in zip([*values, F.col("compared"), bare(a), bare(b)], IDENTITY_COLUMNS, strict=True)])
+
+
+def match_rows(pairs: DataFrame, keys: Sequence[str], a: str = "aligned1", b: str = "aligned2", series: tuple[str, str] | None = None) -> DataFrame:
+    """(keys..., place, line): one line a column of an alignment: number and letter of either sequence and the symbol between them.
+
+    Numbers count a sequence's letters, or are taken from the array columns in `series` in turn; a gap, and a letter beyond its series, has none.
+    """
+    left, right = F.split(a, ""), F.split(b, "")
+    rows = pairs.select(*keys, *([F.col(c).alias(f"_s{k}") for k, c in enumerate(series)] if series else []), F.posexplode(F.arrays_zip(left.alias("p"), right.alias("q"))).alias("place", "_c"))
+    rows = rows.where((F.col("_c.p") != "") & (F.col("_c.q") != ""))
+    ahead = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for k, side in enumerate("pq"):
+        nth = F.sum(F.when(F.col(f"_c.{side}") == "-", 0).otherwise(1)).over(ahead)
+        number = F.get(F.col(f"_s{k}"), (nth - 1).cast("int")).cast("string") if series else nth.cast("string")
+        rows = rows.withColumn(f"_n{k}", F.when(F.col(f"_c.{side}") == "-", "").otherwise(F.coalesce(number, F.lit(""))))
+    return rows.select(*keys, "place", F.concat_ws("\t", "_n0", "_c.p", "_n1", "_c.q", T.pair_symbol(F.col("_c.p"), F.col("_c.q"))).alias("line"))
+
+
+def count_sheets(populations: dict[str, DataFrame], column: str, summary: dict[str, str]) -> dict[str, DataFrame]:
+    """The sheets of a counts workbook: for each population how often each value of a column occurs, most frequent first, and a summary of names and values."""
+    spark = next(iter(populations.values())).sparkSession
+    sheets = {name: df.groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), column) for name, df in populations.items()}
+    return sheets | {"summary": spark.createDataFrame([(k, v) for k, v in summary.items()], "metric string, value string")}
+
+
+def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
+    """A folder a sheet, each with a header and one file."""
+    for name, df in sheets.items():
+        write_table(df, f"{folder}/{name}", single=True)
+
+
+def time_stamp(c: Column) -> Column:
+    """The part of a run's name that says when it began."""
+    return F.date_format(c, "yyyyMMdd_HHmmss")
 
 
 def run_suffix(**parameters: float) -> str:
