@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from strataline.queries import files, geometry, incremental, network, raster, relational, scans, windows  # noqa: F401
+    from strataline.queries import files, geometry, incremental, network, raster, relational, scans, structures, windows  # noqa: F401
 
     return QUERIES, SQL

@@ -110,23 +110,15 @@ def geo11_transformed(spark, d):
     return p.select("id", *[F.round(f"p.{k}", 6).alias(k) for k in "xyz"])
 
 
-@query(f"""WITH {PTS}, a AS (SELECT chain, id // 10 AS res, id % 10 AS atom, x, y, z FROM pts WHERE id % 7 <> 0), k AS (SELECT * FROM a WHERE atom IN (1, 2))
+@query(f"""WITH {PTS}, a AS (SELECT chain, id // 10 AS res, id % 10 AS atom, x, y, z FROM pts), k AS (SELECT * FROM a WHERE atom IN (1, 2))
 SELECT chain, res, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM k GROUP BY 1, 2 HAVING count(*) = 2""")
 def geo12_terminal_atoms(spark, d):
-    p = points(spark, d).where("id % 7 <> 0")
+    p = points(spark, d)
     atoms = p.select(F.lit("s").alias("structure"), "chain", F.floor(F.col("id") / 10).alias("resnum"), F.lit("ASP").alias("resname"), (F.col("id") % 10).cast("string").alias("atom_name"), F.col("id").alias("line_no"), "x", "y", "z")
     wanted = spark.createDataFrame([("ASP", "1"), ("ASP", "2")], "resname string, atom_name string")
     return S.terminal_atoms(atoms, wanted).select("chain", F.col("resnum").alias("res"), "x", "y", "z")
 
 
-@query(f"WITH {PTS} SELECT chain, count(*) FILTER (id % 3 > 0) AS side, max(gap) AS max_gap FROM (SELECT *, id - lag(id) OVER (PARTITION BY chain ORDER BY id) AS gap FROM pts) GROUP BY chain")
-def geo13_selectors(spark, d):
-    from pyspark.sql import Window
-
-    p = points(spark, d).withColumn("gap", F.col("id") - F.lag("id").over(Window.partitionBy("chain").orderBy("id")))
-    return p.groupBy("chain").agg(F.count_if(F.col("id") % 3 > 0).alias("side"), F.max("gap").alias("max_gap"))
-
-
 @query()
 def geo01_geo16_convex_hulls(spark, d):
     return K.surfaces(points(spark, d), "chain")
@@ -147,29 +139,34 @@ def geo05_carved_surfaces(spark, d):
     return K.surfaces(points(spark, d), "chain", 14.0)
 
 
-def _facets(spark, d):
-    p = points(spark, d).where("chain = 0")
+def facets(spark, d):
+    """Every chain's hull: facets with their corners, outward planes and centres."""
+    p = points(spark, d)
     at = lambda k: p.select(F.col("id").alias(k), G.point(F.col("x"), F.col("y"), F.col("z")).alias(f"p{k}"))
     f = K.surfaces(p, "chain").join(at("a"), "a").join(at("b"), "b").join(at("c"), "c")
-    return f.select(F.struct("a", "b", "c").alias("facet"), G.plane(F.col("pa"), F.col("pb"), F.col("pc")).alias("plane"), *[((F.col(f"pa.{k}") + F.col(f"pb.{k}") + F.col(f"pc.{k}")) / 3).alias(k) for k in "xyz"])
+    return f.select("chain", "a", "b", "c", "pa", "pb", "pc", F.struct("a", "b", "c").alias("facet"), G.plane(F.col("pa"), F.col("pb"), F.col("pc")).alias("plane"), *[((F.col(f"pa.{k}") + F.col(f"pb.{k}") + F.col(f"pc.{k}")) / 3).alias(k) for k in "xyz"])
+
 
+@query("SELECT vec_id AS id FROM embeddings")
+def geo02_geo10_inside_own_hull(spark, d):
+    return S.inside_hull(points(spark, d), facets(spark, d), "chain", 1e-6).select("id")
 
-@query("SELECT vec_id AS id FROM embeddings WHERE label = 0")
-def geo02_geo10_inside_hull(spark, d):
+
+@query()
+def geo02_geo10_inside_next_hull(spark, d):
     p = points(spark, d)
-    return S.inside_hull(p.where("chain = 0"), _facets(spark, d), 1e-6).select("id")
+    return S.inside_hull(p, facets(spark, d).withColumn("chain", F.col("chain") - 1), "chain").select("id", "chain")
 
 
 @query()
 def geo07_hull_burial(spark, d):
-    p = points(spark, d).where("chain = 1")
-    j = p.join(F.broadcast(_facets(spark, d).select("plane")))
-    return O.burial(j.select("id", G.plane_distance(F.struct("x", "y", "z"), F.col("plane")).alias("d")), "id", "d")
+    j = S.hull_distances(points(spark, d), facets(spark, d).withColumn("chain", F.col("chain") - 1), "chain")
+    return O.burial(j.select("id", "distance"), "id", "distance")
 
 
 @query()
 def geo14_sampling_grid(spark, d):
-    f = _facets(spark, d).select("facet", G.point(F.col("x"), F.col("y"), F.col("z")).alias("centre"), F.col("plane.n").alias("normal"))
+    f = facets(spark, d).select("facet", G.point(F.col("x"), F.col("y"), F.col("z")).alias("centre"), F.col("plane.n").alias("normal"))
     g = S.sampling_grid(f, 2.0, 2)
     return g.select("facet.a", "facet.b", "facet.c", "k", *[F.round(c, 6).alias(c) for c in "xyz"])
 

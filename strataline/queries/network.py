@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataline.operators import network as N
 from strataline.plans.components import connected_components
 from strataline.queries import query
-from strataline.session import table
+from strataline.session import cut, table
 
 HITS = """hits AS (
   SELECT a.l_partkey AS q, b.l_partkey AS s, a.l_quantity + b.l_quantity AS pident, least(a.l_discount, b.l_discount) AS evalue,
@@ -19,16 +19,14 @@ UNIQUE = f"""{HITS}, edges AS (
   SELECT least(q, s) AS a, greatest(q, s) AS b, max(pident) AS pident, min(evalue) AS evalue, max(bitscore) AS bitscore, max(length) AS length
   FROM hits WHERE q <> s GROUP BY 1, 2
 )"""
-STRONG = 98.0
-REACH = f"""strong AS (
-  SELECT a, b FROM edges WHERE pident >= {STRONG}
-), ways AS (
-  SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong
-), reach(node, root) AS (
-  SELECT a, a FROM ways UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node
-), parts AS (
-  SELECT node, min(root) AS component FROM reach GROUP BY node
-)"""
+#: The walk's and the reduced graph's own least identity.
+STRONG = 30.0
+WAYS = f"strong AS MATERIALIZED (SELECT a, b FROM edges WHERE pident >= {STRONG}), ways AS MATERIALIZED (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong)"
+#: Every node of `ways` with the smallest node it is linked with: labels go from neighbour to neighbour until none falls.
+SPREAD = """parts(node, component) USING KEY (node) AS (
+  SELECT a, least(a, min(b)) FROM ways GROUP BY a
+  UNION SELECT ways.b, min(p.component) FROM parts p JOIN ways ON ways.a = p.node JOIN recurring.parts r ON r.node = ways.b WHERE p.component < r.component GROUP BY ways.b)"""
+REACH = f"{WAYS}, {SPREAD}"
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,22 +113,23 @@ def top01_start_node(spark, sf_dir):
     return N.start_node(nodes, F.col("p_size") <= 10, F.col("p_size") <= 40).select("node", "degree")
 
 
-def _root(spark, sf_dir):
-    best = N.degrees(strong(spark, sf_dir)).orderBy(F.desc("degree"), F.desc("node")).first()
+def _root(links):
+    best = N.degrees(links).orderBy(F.desc("degree"), F.desc("node")).first()
     return best[0] if best else 0
 
 
-@query(f"""WITH RECURSIVE {UNIQUE}, strong AS (SELECT a, b FROM edges WHERE pident >= {STRONG}), ways AS (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong),
-root AS (SELECT a AS node FROM ways GROUP BY a ORDER BY count(*) DESC, a DESC LIMIT 1),
-walk(node, depth) AS (SELECT node, 0 FROM root UNION SELECT ways.b, walk.depth + 1 FROM walk JOIN ways ON ways.a = walk.node WHERE walk.depth < 6)
-SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+@query(f"""WITH RECURSIVE {UNIQUE}, {WAYS}, root AS (SELECT a AS node FROM ways GROUP BY a ORDER BY count(*) DESC, a DESC LIMIT 1),
+walk(node, depth) USING KEY (node) AS (SELECT node, 0 FROM root UNION SELECT ways.b, min(walk.depth) + 1 FROM walk JOIN ways ON ways.a = walk.node WHERE ways.b NOT IN (SELECT node FROM recurring.walk) GROUP BY ways.b)
+SELECT node, depth FROM walk""")
 def gr03_bfs_depth(spark, sf_dir):
-    return N.bfs_walk(strong(spark, sf_dir), _root(spark, sf_dir), 6).select("node", "depth")
+    links = cut(strong(spark, sf_dir))
+    return N.bfs_walk(links, _root(links)).select("node", "depth")
 
 
 @query()
 def gr03_bfs_tree(spark, sf_dir):
-    return N.bfs_walk(strong(spark, sf_dir), _root(spark, sf_dir), 6)
+    links = cut(strong(spark, sf_dir))
+    return N.bfs_walk(links, _root(links))
 
 
 @query(f"WITH RECURSIVE {UNIQUE}, {REACH} SELECT node, component FROM parts")
@@ -149,7 +148,7 @@ def gr04_level_capped_walk(spark, sf_dir):
 
 
 def _grouped(spark, sf_dir):
-    s = strong(spark, sf_dir)
+    s = cut(strong(spark, sf_dir))
     return s.join(connected_components(s, "a", "b").withColumnRenamed("node", "a"), "a").select("component", "a", "b", "weight")
 
 
@@ -197,13 +196,13 @@ def jn11_flt08_within_components(spark, sf_dir):
 @query()
 def gr08_prune_to_cap(spark, sf_dir):
     grouped = _grouped(spark, sf_dir)
-    caps = grouped.select("component").distinct().withColumn("cap", F.lit(4).cast("long"))
+    caps = grouped.select("component").distinct().withColumn("cap", F.lit(100).cast("long"))
     return N.prune_to_cap(N.maximum_spanning_forest(grouped), N.node_scores(grouped), caps)
 
 
 @query()
 def gr10_top04_snk06_reduced_network(spark, sf_dir):
-    return N.reduce_network(strong(spark, sf_dir), budget=100, cap=30)
+    return N.reduce_network(strong(spark, sf_dir))
 
 
 @query()
@@ -238,16 +237,22 @@ def gr12_tight_bonds(spark, sf_dir):
     return N.tight_bonds(edges(spark, sf_dir).withColumn("distance", F.col("evalue")), _charges(spark, sf_dir), 0.01)
 
 
-@query(f"""WITH RECURSIVE {UNIQUE}, {CHARGES}, strong AS (SELECT e.a, e.b FROM edges e JOIN charges x ON x.node = e.a JOIN charges y ON y.node = e.b WHERE e.pident >= {STRONG} AND x.charge * y.charge > 0),
-ways AS (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong), reach(node, root) AS (SELECT a, a FROM ways UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node)
-SELECT node, min(root) AS component FROM reach GROUP BY node""")
+@query(f"""WITH RECURSIVE {UNIQUE}, {CHARGES}, strong AS MATERIALIZED (SELECT e.a, e.b FROM edges e JOIN charges x ON x.node = e.a JOIN charges y ON y.node = e.b WHERE e.pident >= {STRONG} AND x.charge * y.charge > 0),
+ways AS MATERIALIZED (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong), {SPREAD} SELECT node, component FROM parts""")
 def gr13_parity_networks(spark, sf_dir):
     return N.parity_networks(strong(spark, sf_dir), _charges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {UNIQUE}, {CHARGES}, strong AS (SELECT e.a, e.b FROM edges e JOIN charges x ON x.node = e.a JOIN charges y ON y.node = e.b WHERE e.pident >= {STRONG} AND x.residue = y.residue),
-ways AS (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong), reach(node, root) AS (SELECT a, a FROM ways UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node),
-parts AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
+@query(f"""WITH RECURSIVE {UNIQUE}, {CHARGES}, kept AS (SELECT a, b FROM edges WHERE pident >= 95 UNION SELECT a, b FROM edges WHERE pident < 95 AND evalue <= 0.001),
+strong AS MATERIALIZED (SELECT e.a, e.b FROM kept e JOIN charges x ON x.node = e.a JOIN charges y ON y.node = e.b WHERE x.charge * y.charge < 0),
+ways AS MATERIALIZED (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong), {SPREAD} SELECT node, component FROM parts""")
+def gr13_recovered_edges(spark, sf_dir):
+    e = edges(spark, sf_dir).withColumn("distance", F.col("evalue"))
+    return N.parity_networks(e.where("pident >= 95"), _charges(spark, sf_dir), same=False, lost=e.where("pident < 95"), max_length=0.001)
+
+
+@query(f"""WITH RECURSIVE {UNIQUE}, {CHARGES}, strong AS MATERIALIZED (SELECT e.a, e.b FROM edges e JOIN charges x ON x.node = e.a JOIN charges y ON y.node = e.b WHERE e.pident >= {STRONG} AND x.residue = y.residue),
+ways AS MATERIALIZED (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong), {SPREAD}
 SELECT residue AS class, c.node, coalesce(component, c.node) AS component FROM charges c LEFT JOIN parts p ON p.node = c.node""")
 def gr14_class_networks(spark, sf_dir):
     return N.class_networks(strong(spark, sf_dir).select("a", "b"), _charges(spark, sf_dir).select("node", F.col("residue").alias("class")))
@@ -273,21 +278,17 @@ def agg25_mixing_summary(spark, sf_dir):
     return N.mixing_summary(_mixed(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {UNIQUE}, strong AS (SELECT a, b FROM edges WHERE 100 - pident < 2), ways AS (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong),
-reach(node, root) AS (SELECT a, a FROM ways UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node), parts AS (SELECT node, min(root) AS component FROM reach GROUP BY node)
+@query(f"""WITH RECURSIVE {UNIQUE}, strong AS MATERIALIZED (SELECT a, b FROM edges WHERE 100 - pident < 2), ways AS MATERIALIZED (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong), {SPREAD}
 SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM parts QUALIFY size >= 3""")
 def gr17_flt15_edge_clusters(spark, sf_dir):
     return N.clustered(edges(spark, sf_dir).withColumn("distance", 100 - F.col("pident")), 2.0, 3)
 
 
-@query(f"""WITH RECURSIVE {UNIQUE}, {REACH}, s AS (SELECT component, count(*) AS size FROM parts GROUP BY component HAVING count(*) > 2)
-SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS place FROM s""")
-def gr16_top06_ranked_networks(spark, sf_dir):
-    from pyspark.sql import Window
-
-    parts = connected_components(strong(spark, sf_dir), "a", "b")
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 2")
-    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")))
+@query(f"""WITH RECURSIVE {UNIQUE}, strong AS MATERIALIZED (SELECT a, b FROM edges WHERE pident >= 98), ways AS MATERIALIZED (SELECT a, b FROM strong UNION ALL SELECT b, a FROM strong), {SPREAD},
+s AS (SELECT component, count(*) AS size FROM parts GROUP BY component HAVING count(*) > 2) SELECT component, size, CAST(row_number() OVER (ORDER BY size DESC, component) AS INT) AS place FROM s""")
+def top06_ranked_networks(spark, sf_dir):
+    parts = N.reachable(edges(spark, sf_dir), F.col("pident") >= 98)
+    return N.ranked(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 2"), "size", "component")
 
 
 @query(f"""WITH {UNIQUE}, ends AS (SELECT a AS node, b AS other FROM edges WHERE pident >= 95 UNION ALL SELECT b, a FROM edges WHERE pident >= 95), levels AS (SELECT node, min(other) AS parent, count(*) % 5 AS depth FROM ends GROUP BY node)

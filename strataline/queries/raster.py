@@ -117,15 +117,25 @@ def img08_ray_pairs(spark, d):
 
 
 @query()
-def img12_jn20_attached_components(spark, d):
-    def run(a, image):
-        small, large = K.labelled((a > 60) & (a <= 150)), K.dilated(a > 150, K.square(1))
-        import numpy as np
-        import pandas as pd
+def img12_jn20_attached_interfaces(spark, d):
+    p = pixels(spark, d)
+    return R.attached_interfaces(R.label_table(p, 60, 150), R.label_table(p, 150), large=20, min_attached=4)
+
+
+@query()
+def img10_cls05_classified_components(spark, d):
+    p = pixels(spark, d)
+    return R.classified_components(R.label_table(p, 60, 150), R.label_table(p, 150), reach=6, large=12, unit=0.5, bridge_area=20, projection_mm=3.0)
+
 
-        area = np.bincount(small.ravel())
-        touch = np.bincount(small.ravel(), large.ravel().astype(float), len(area))
-        k = np.arange(1, len(area))
-        return pd.DataFrame({"image_id": image, "label": k, "area": area[1:], "attached": touch[1:] > 0})
+@query()
+def img13_closing_radii(spark, d):
+    return R.closing_radii(pixels(spark, d), -100)
 
-    return K.per_image(pixels(spark, d), run, "image_id long, label long, area long, attached boolean")
+
+@query(f"""WITH {PIX}, s AS (SELECT image_id, y, x, v, CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) * 255.0 / (max(v) OVER w - min(v) OVER w) ELSE 0.0 END AS a FROM pix WINDOW w AS (PARTITION BY image_id)),
+m AS (SELECT image_id, y, x, CASE WHEN max(-v) OVER w > min(-v) OVER w THEN (-v - min(-v) OVER w) * 255.0 / (max(-v) OVER w - min(-v) OVER w) ELSE 0.0 END AS b FROM pix WINDOW w AS (PARTITION BY image_id))
+SELECT image_id, y, x, round(0.25 * a + 0.75 * b, 6) AS v FROM s JOIN m USING (image_id, y, x)""")
+def img13_overlay(spark, d):
+    p = pixels(spark, d)
+    return R.overlaid(p, p.withColumn("v", -F.col("v")), 0.25).withColumn("v", F.round("v", 6))

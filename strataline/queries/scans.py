@@ -118,7 +118,7 @@ def src08_fasta_last_of_id(spark, d):
 
 @query("SELECT c_custkey, CAST(least(floor((row_number() OVER (ORDER BY c_custkey) - 1) / ceil(count(*) OVER () / 7)), 6) AS INT) AS chunk FROM customer")
 def src09_win11_record_chunks(spark, d):
-    return table(spark, d, "customer").select("c_custkey", R.chunk_number(["c_custkey"], 7).alias("chunk"))
+    return R.in_chunks(table(spark, d, "customer").select("c_custkey"), ["c_custkey"], 7)
 
 
 ENTRY_SQL = f"""SELECT {ACC} AS primary_accession, CASE WHEN p_partkey % 2 = 0 THEN 'Reviewed' ELSE 'Unreviewed' END AS status, p_name AS protein, 'g' || CAST(p_size AS VARCHAR) AS gene, 'Homo sapiens' AS organism, 'Eukaryota' AS superkingdom,

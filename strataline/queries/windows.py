@@ -92,7 +92,7 @@ def win09_renumbered(spark, d):
 @query("""WITH n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k, count(*) OVER () AS l FROM part), b AS (SELECT i, (i * l) // 7 AS a, ((i + 1) * l) // 7 AS z FROM (SELECT unnest(range(7)) AS i), (SELECT max(l) AS l FROM n))
 SELECT p_partkey, CAST(i AS INT) AS part, CAST(k % 7 AS INT) AS turn FROM n JOIN b ON k >= a AND k < z""")
 def win11_even_split(spark, d):
-    return table(spark, d, "part").select("p_partkey", W.even_split(["p_partkey"], 7).alias("part"), W.round_robin(["p_partkey"], 7).alias("turn"))
+    return W.round_robin(W.even_split(table(spark, d, "part").select("p_partkey"), ["p_partkey"], 7), ["p_partkey"], 7)
 
 
 @query("""WITH s AS (SELECT user_id, sqrt(pow(value - lag(value) OVER w, 2) + pow(event_id % 100 - lag(event_id % 100) OVER w, 2)) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
