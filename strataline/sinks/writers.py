@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataline.functions import text as T
 from strataline.plans.ordering import numbered
 
-# fixed values: column order of merged tables
+# fixed values: column order of merged tables and of the identity report
 MERGED_PREFIX = ("rank", "tm", "coverage", "type", "protein", "gene", "protein_existence", "superkingdom", "organism", "lineage", "primary_accession", "interpro_ids", "source", "status", "id_line", "sequence_aa")
 
 IDENTITY_COLUMNS = (

@@ -208,9 +208,11 @@ def opened(rows, db):
     a, got = masks(20, True)(rows, db)
     m = a > 20
     h, w = m.shape
-    # a pixel stays if some whole square of three inside the mask holds it
-    whole = {(y, x) for y in range(h) for x in range(w) if all(0 <= y + i < h and 0 <= x + j < w and m[y + i, x + j] for i in (-1, 0, 1) for j in (-1, 0, 1))}
-    assert got == {(y + i, x + j) for y, x in whole for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    # a pixel stays if some square of three inside the mask holds it; what lies beyond the border counts as inside
+    near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    inside = lambda y, x: 0 <= y < h and 0 <= x < w
+    whole = {(y, x) for y in range(h) for x in range(w) if all(not inside(y + i, x + j) or m[y + i, x + j] for i, j in near)}
+    assert got == {(y + i, x + j) for y, x in whole for i, j in near if inside(y + i, x + j)}
 
 
 def distances(rows, db):
