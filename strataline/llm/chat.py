@@ -5,7 +5,8 @@ one row a turn and perspective: the rendered segment, where it stands in the ren
 length is spread over rows; nothing gathers it in one. SQL functions only.
 
 Participants are the distinct roles of a dialogue but `system`, whose turns open every perspective as system segments. Defined results: a null role is
-the participant `unknown`, a null text is empty, a null conv_id is a dialogue of its own; turns of equal number are ordered by role and text,
+the participant `unknown`, a null text is empty, a null conv_id is a dialogue of its own; roles and texts are rendered as they are, so a text may hold the segments'
+own marks: offsets tell segments apart, not marks; turns of equal number are ordered by role and text,
 and rows equal in those are repeated; null turns come first; a dialogue of system turns only has no perspective and no rows; an empty table gives an empty result.
 """
 
