@@ -65,8 +65,45 @@ def simplex_edges(simplices: np.ndarray) -> np.ndarray:
 
 
 def hull_facets(points: np.ndarray) -> np.ndarray:
-    """Facets of a three-dimensional convex hull, outward orientation: the faces that only one tetrahedron of the triangulation has."""
-    return surface_facets(points, delaunay(points))
+    """Facets of a three-dimensional convex hull, outward orientation, by adding one point after the other: the facets it sees give way to those over their rim.
+
+    Points within rounding of the hull are no corners; sets in one plane have no facets.
+    """
+    p = np.asarray(points, float)
+    if len(p) < 4:
+        return np.zeros((0, 3), int)
+    eps = 1e-12 * max(1e-300, np.ptp(p, axis=0).max())
+    first = int(np.argmin(p[:, 0]))
+    second = int(np.argmax(((p - p[first]) ** 2).sum(axis=1)))
+    along = p[second] - p[first]
+    off = np.linalg.norm(np.cross(p - p[first], along), axis=1)
+    third = int(np.argmax(off))
+    normal = np.cross(along, p[third] - p[first])
+    height = (p - p[first]) @ normal
+    fourth = int(np.argmax(np.abs(height)))
+    if off[third] <= eps * np.linalg.norm(along) or abs(height[fourth]) <= eps * np.linalg.norm(normal):
+        return np.zeros((0, 3), int)
+    start = [first, second, third, fourth]
+    inside = p[start].mean(axis=0)
+
+    def planes(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.cross(p[f[:, 1]] - p[f[:, 0]], p[f[:, 2]] - p[f[:, 0]])
+        n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
+        d = (n * p[f[:, 0]]).sum(axis=1)
+        turned = n @ inside > d
+        f = np.where(turned[:, None], f[:, [0, 2, 1]], f)
+        return f, np.where(turned[:, None], -n, n), np.where(turned, -d, d)
+
+    facets, normals, offsets = planes(np.array(list(combinations(start, 3))))
+    for k in range(len(p)):
+        seen = normals @ p[k] - offsets > eps
+        if k in start or not seen.any():
+            continue
+        sides = {(int(f[i]), int(f[i - 2])) for f in facets[seen] for i in range(3)}
+        rim = [(a, b) for a, b in sides if (b, a) not in sides]
+        f, n, d = planes(np.array([(a, b, k) for a, b in sorted(rim)]))
+        facets, normals, offsets = np.vstack([facets[~seen], f]), np.vstack([normals[~seen], n]), np.append(offsets[~seen], d)
+    return facets
 
 
 def surface_facets(points: np.ndarray, tets: np.ndarray) -> np.ndarray:
@@ -124,7 +161,7 @@ def surfaces(points: DataFrame, group: str, max_radius: float = float("inf")) ->
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         p, ids = pdf[["x", "y", "z"]].to_numpy(float), pdf["id"].to_numpy()
-        f = surface_facets(p, delaunay(p) if np.isinf(max_radius) else carved(p, max_radius))
+        f = hull_facets(p) if np.isinf(max_radius) else surface_facets(p, carved(p, max_radius))
         return pd.DataFrame({group: [pdf[group].iloc[0]] * len(f), "a": ids[f[:, 0]], "b": ids[f[:, 1]], "c": ids[f[:, 2]]})
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}

@@ -120,8 +120,7 @@ def secondary_core(ca: DataFrame, *, helix: tuple[float, float] = (2.75, 3.25),
     rows = ca.select("structure", "resnum", "x", "y", "z")
 
     def tight(at) -> Column:
-        r = G.circumsphere(*[point(at(k)) for k in range(4)])["radius"]
-        return (r > helix[0]) & (r < helix[1])
+        return F.exists(F.array(G.circumsphere(*[point(at(k)) for k in range(4)])["radius"]), lambda r: (r > helix[0]) & (r < helix[1]))
 
     helices = cut(in_runs(W.marked_windows(rows, group, "resnum", 4, tight), group, "resnum", 2, helix_run).drop("run"))
     order = Window.partitionBy("structure").orderBy("resnum")

@@ -37,7 +37,9 @@ def marked_windows(df: DataFrame, group: Sequence[str], order: str, width: int,
     """Rows of `df` that lie in some window of `width` consecutive rows for which `predicate(k -> struct of the k-th row)` holds."""
     w = _ordered(group, order)
     rows = df.withColumn("_nth", F.row_number().over(w)).withColumn("_me", F.struct(*df.columns))
-    held = rows.withColumn("_hit", predicate(lambda k: F.lead("_me", k).over(w) if k else F.col("_me")) & F.lead("_me", width - 1).over(w).isNotNull())
+    # the window's rows are columns of their own, else every mention of one in the predicate would be a window function
+    ahead = rows.withColumns({f"_w{k}": F.lead("_me", k).over(w) for k in range(1, width)})
+    held = ahead.withColumn("_hit", predicate(lambda k: F.col(f"_w{k}") if k else F.col("_me")) & F.col(f"_w{width - 1}" if width > 1 else "_me").isNotNull())
     near = _ordered(group, "_nth").rowsBetween(-(width - 1), 0)
     return held.withColumn("_in", F.max(F.coalesce(F.col("_hit"), F.lit(False))).over(near)).where("_in").select(*df.columns)
 
