@@ -179,9 +179,9 @@ def hit_class(n_truncation: Column, c_truncation: Column, has_gaps: Column, gap_
 
 
 def burial(distances: DataFrame, key: str, distance: str, core: float = -3.0, margin: float = -2.0) -> DataFrame:
-    """(key, burial, mean): core -1, margin 0 or exposed 1 from a vertex's signed distances to the surface. The least distance is that without signs; it stands for the mean where it decides."""
+    """(key, burial, mean): core -1, margin 0 or exposed 1 from a vertex's signed distances to the surface. The least distance is that without signs; it stands for the mean where it decides. A missing distance is not below the core."""
     d = F.col(distance)
-    agg = distances.groupBy(key).agg(F.avg(d).alias("mean"), F.min(F.abs(d)).alias("lo"), (F.max(d) - F.min(d)).alias("spread"), F.avg((d < core).cast("int")).alias("below"))
+    agg = distances.groupBy(key).agg(F.avg(d).alias("mean"), F.min(F.abs(d)).alias("lo"), (F.max(d) - F.min(d)).alias("spread"), F.avg(F.when(d < core, 1).otherwise(0)).alias("below"))
     deep = F.when(F.col("below") > 0.6, -1).when(F.col("spread") > 5.0, 1).otherwise(-1)
     near = F.when((F.col("mean") < 0) | (F.col("lo") <= margin), 0).otherwise(1)
     by_least = (F.col("mean") > margin) & (F.col("mean") > core) & (F.col("lo") <= margin)

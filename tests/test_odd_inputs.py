@@ -1,9 +1,23 @@
-"""Queries on tables with odd rows, and groups that give no row."""
+"""Queries on tables with odd rows, held against their SQL, and groups that give no row."""
 
+import duckdb
 import numpy as np
 import pytest
 
+from compare_oracle import plain
 from strataline.operators import kernels as K
+from strataline.queries import load
+
+QUERIES, SQL = load()
+
+
+def agrees(spark, folder, name, table, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    got, want = QUERIES[name](spark, str(folder)), db.sql(SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted((tuple(map(plain, r)) for r in got.select(*want.columns).collect()), key=repr) == sorted((tuple(map(plain, r)) for r in want.fetchall()), key=repr)
 
 
 @pytest.mark.parametrize("named", ["surfaces", "triangulated"])
@@ -13,3 +27,8 @@ def test_groups_without_facets_or_edges(spark, named):
     df = spark.createDataFrame(rows, "ligand string, id long, x double, y double, z double")
     assert {r.ligand for r in getattr(K, named)(df, "ligand").collect()} == {"solid"}
     assert getattr(K, named)(df.where("ligand <> 'solid'"), "ligand").collect() == []
+
+
+def test_burial_counts_missing_distances(spark, tmp_path):
+    rows = [(1, 1.0)] * 6 + [(1, None)] * 5 + [(2, 1.0), (2, 2.0), (2, 50.0)] + [(3, None), (3, None)] + [(None, 1.0), (None, 40.0), (None, None)] + [(4, 1.0), (4, 1.0), (4, 38.0), (4, None)]
+    agrees(spark, tmp_path, "cls04_geo07_burial", "lineitem", rows, "l_partkey long, l_quantity double")
