@@ -36,16 +36,23 @@ def src01_agg05_listing(spark, d):
     return R.listing(_listing(spark, d)).withColumn("tm", F.round("tm", 2))
 
 
+#: How a null is written in a line.
+NULL = r"\N"
+
+
 def _hit_lines(spark, d):
     li = table(spark, d, "lineitem")
-    v = F.concat_ws("\t", F.col("l_orderkey"), F.when(F.col("l_linenumber") == 7, "bad").otherwise(F.col("l_quantity").cast("string")), F.col("l_linenumber"), F.when(F.col("l_returnflag") == "R", "NA").otherwise(F.col("l_discount").cast("string")), F.col("l_extendedprice"), F.lit("title"))
-    return as_lines(li, F.lit("hits"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.when(F.col("l_linenumber") == 6, F.concat(F.lit("# "), v)).otherwise(v))
+    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
+    length = F.coalesce(F.col("l_linenumber").cast("string"), F.lit("bad"))
+    v = F.concat_ws("\t", s("l_orderkey"), F.when(F.col("l_linenumber") == 7, "bad").otherwise(s("l_quantity")), length, F.when(F.col("l_returnflag") == "R", "NA").otherwise(s("l_discount")), s("l_extendedprice"), F.lit("title"))
+    line_no = F.xxhash64("l_orderkey", "l_linenumber")  # any key: hits have no order
+    return as_lines(li, F.lit("hits"), line_no, F.when(F.col("l_linenumber") == 6, F.concat(F.lit("# "), v)).otherwise(v))
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS qseqid, l_quantity AS pident, l_linenumber AS length, CASE WHEN l_returnflag = 'R' THEN CAST('inf' AS DOUBLE) ELSE l_discount END AS evalue, l_extendedprice AS bitscore, 'title' AS stitle
 FROM lineitem WHERE l_linenumber NOT IN (6, 7)""")
 def src10_search_hits(spark, d):
-    return R.search_hits(_hit_lines(spark, d)).drop("file", "line_no")
+    return R.search_hits(_hit_lines(spark, d), NULL).drop("file", "line_no")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS uniprot_id, c_mktsegment AS superkingdom, c_name AS gene, 'o' AS organism, '1' AS rank, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_nationkey END AS degree FROM customer""")

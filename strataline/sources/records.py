@@ -67,13 +67,20 @@ def field(k: int) -> Column:
     return F.get("f", F.lit(k))
 
 
-def search_hits(rows: DataFrame) -> DataFrame:
-    """(qseqid, pident, length, evalue, bitscore, stitle); comments, short rows and unreadable numbers are dropped, a missing evalue is infinite."""
-    r = tab_fields(rows, 6).select(
-        field(0).alias("qseqid"), field(1).try_cast("double").alias("pident"), field(2).try_cast("int").alias("length"), T.evalue(field(3)).alias("evalue"),
-        field(4).try_cast("double").alias("bitscore"), field(5).alias("stitle"), "file", "line_no",
+def search_hits(rows: DataFrame, missing: str | None = None) -> DataFrame:
+    """(qseqid, pident, length, evalue, bitscore, stitle); comments, short rows and unreadable numbers are dropped, an empty or NA evalue is infinite.
+
+    A field that is the token `missing` is null, which is not unreadable.
+    """
+    r = tab_fields(rows, 6)
+    if missing is not None:
+        r = r.withColumn("f", F.transform("f", lambda x: F.when(x != missing, x)))
+    number = {"pident": field(1).try_cast("double"), "length": field(2).try_cast("int"), "bitscore": field(4).try_cast("double")}
+    read = [c.isNotNull() | field(k).isNull() for k, c in zip((1, 2, 4), number.values(), strict=True)]
+    evalue = T.evalue(field(3)) if missing is None else F.when(field(3).isNotNull(), T.evalue(field(3)))
+    return r.where(read[0] & read[1] & read[2]).select(
+        field(0).alias("qseqid"), number["pident"].alias("pident"), number["length"].alias("length"), evalue.alias("evalue"), number["bitscore"].alias("bitscore"), field(5).alias("stitle"), "file", "line_no"
     )
-    return r.where(F.col("pident").isNotNull() & F.col("length").isNotNull() & F.col("bitscore").isNotNull())
 
 
 def network_nodes(rows: DataFrame) -> DataFrame:

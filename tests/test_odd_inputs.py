@@ -7,6 +7,7 @@ import pytest
 from compare_oracle import plain
 from strataline.operators import kernels as K
 from strataline.queries import load
+from strataline.sources import records as R
 
 QUERIES, SQL = load()
 
@@ -32,3 +33,16 @@ def test_groups_without_facets_or_edges(spark, named):
 def test_burial_counts_missing_distances(spark, tmp_path):
     rows = [(1, 1.0)] * 6 + [(1, None)] * 5 + [(2, 1.0), (2, 2.0), (2, 50.0)] + [(3, None), (3, None)] + [(None, 1.0), (None, 40.0), (None, None)] + [(4, 1.0), (4, 1.0), (4, 38.0), (4, None)]
     agrees(spark, tmp_path, "cls04_geo07_burial", "lineitem", rows, "l_partkey long, l_quantity double")
+
+
+def test_search_hits_of_missing_values(spark, tmp_path):
+    whole = (1, 2, 17.0, 0.05, 900.5, "N")
+    rows = [whole] + [tuple(None if j == k else x for j, x in enumerate(whole)) for k in range(6)] + [(None, 3, None, None, None, None), (2, 6, None, 0.1, 1.0, "R"), (3, 7, None, 0.1, 1.0, "R"), (4, 1, 5.0, None, 1.0, "R")]
+    rows += [(5, 1, float("nan"), float("inf"), -1e300, "A"), (9_000_000_000_000_000_000, 1, 1e7, 1e-5, 0.0, "A")]
+    agrees(spark, tmp_path, "src10_search_hits", "lineitem", rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double, l_returnflag string")
+
+
+def test_search_hits_without_a_token_for_missing_values(spark):
+    lines = ["q\t90\t7\t\t5\tt", "q\t\t7\t1\t5\tt", "q\t90\t\t1\t5\tt", "q\t90\t7\tNA\tx\tt", "\\N\t90\t7\t1\t\\N\tt", "\\N\t90\t7\t1\t5\tt"]
+    got = R.search_hits(spark.createDataFrame([("f", k, v) for k, v in enumerate(lines)], "file string, line_no long, value string")).collect()
+    assert sorted((r.line_no, r.qseqid, r.evalue) for r in got) == [(0, "q", float("inf")), (5, "\\N", 1.0)]
