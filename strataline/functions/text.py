@@ -87,8 +87,8 @@ def int_or(c: Column, default: int) -> Column:
 
 
 def whole_of_float(c: Column, default: int) -> Column:
-    """int(float(x))."""
-    return F.coalesce(strip_all(c).try_cast("double").cast("long"), F.lit(default))
+    """int(float(x)); what has no whole number (NaN, infinities, beyond 64 bits) is the default."""
+    return F.coalesce(strip_all(c).try_cast("double").try_cast("long"), F.lit(default))
 
 
 def float_or(c: Column, default: float | None) -> Column:

@@ -298,8 +298,12 @@ def prj05_prj06_header_fields(spark, d):
 
 @query("SELECT o_orderkey, o_orderkey AS a, CAST(9 AS BIGINT) AS b, CAST(trunc(o_totalprice) AS BIGINT) AS c, o_totalprice AS e, CAST('inf' AS DOUBLE) AS f, 255 AS h FROM orders")
 def scalar_casts(spark, d):
-    k = F.col("o_orderkey").cast("string")
-    return table(spark, d, "orders").select("o_orderkey", T.int_or(F.concat(F.lit(" "), k), 9).alias("a"), T.int_or(F.concat(F.lit("x"), k), 9).cast("long").alias("b"), T.whole_of_float(F.col("o_totalprice").cast("string"), 0).alias("c"), T.float_or(F.col("o_totalprice").cast("string"), None).alias("e"), T.evalue(F.lit("NA")).alias("f"), T.hex_int(F.lit("  FF")).alias("h"))
+    k, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")
+    known = lambda c, x: F.when(c.isNotNull(), x)  # noqa: E731  # the defaults are for texts that can't be read, not for missing ones
+    return table(spark, d, "orders").select(
+        "o_orderkey", known(k, T.int_or(F.concat(F.lit(" "), k), 9)).alias("a"), T.int_or(F.concat(F.lit("x"), k), 9).cast("long").alias("b"), known(price, T.whole_of_float(price, 0)).alias("c"),
+        T.float_or(price, None).alias("e"), T.evalue(F.lit("NA")).alias("f"), T.hex_int(F.lit("  FF")).alias("h"),
+    )
 
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(upper(text), '\\bTHE\\b|WAS FROM') GROUP BY lang")

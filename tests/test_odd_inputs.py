@@ -3,8 +3,10 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compare_oracle import plain
+from strataline.functions import text as T
 from strataline.operators import kernels as K
 from strataline.queries import load
 from strataline.sources import records as R
@@ -46,3 +48,13 @@ def test_search_hits_without_a_token_for_missing_values(spark):
     lines = ["q\t90\t7\t\t5\tt", "q\t\t7\t1\t5\tt", "q\t90\t\t1\t5\tt", "q\t90\t7\tNA\tx\tt", "\\N\t90\t7\t1\t\\N\tt", "\\N\t90\t7\t1\t5\tt"]
     got = R.search_hits(spark.createDataFrame([("f", k, v) for k, v in enumerate(lines)], "file string, line_no long, value string")).collect()
     assert sorted((r.line_no, r.qseqid, r.evalue) for r in got) == [(0, "q", float("inf")), (5, "\\N", 1.0)]
+
+
+def test_casts_of_missing_values(spark, tmp_path):
+    rows = [(1, 2.5), (None, 3.5), (2, None), (None, None), (-3, -2.5), (9_000_000_000_000_000_000, 1e15), (4, -0.0), (5, 1e-9)]
+    agrees(spark, tmp_path, "scalar_casts", "orders", rows, "o_orderkey long, o_totalprice double")
+
+
+def test_whole_numbers_of_floats_without_one(spark):
+    df = spark.createDataFrame([("NaN",), ("inf",), ("1e30",), (" 7.9 ",), ("-7.9",), ("x",), (None,)], "x string")
+    assert [r[0] for r in df.select(T.whole_of_float(F.col("x"), 9)).collect()] == [9, 9, 9, 7, -7, 9, 9]
