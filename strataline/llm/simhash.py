@@ -39,7 +39,11 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first, last = np.concatenate(([0], ends[:-1] + 1)), ends[min(shingle, len(words)) - 1 :]
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(first.tolist(), last.tolist(), strict=False)), np.uint64, len(last))
+    return majority(np.fromiter((digest(line[a:b], seed) for a, b in zip(first.tolist(), last.tolist(), strict=False)), np.uint64, len(last)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of these hashes: a bit is 1 if it is in over half of them; of none, zero."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -246,10 +250,11 @@ def min_bands(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
 
     if not len(hashes):
         return []
-    least = np.full(MIN_ROWS * MIN_BANDS, ~np.uint64(0))
+    n = factors.shape[1] // MIN_ROWS
+    least = np.full(MIN_ROWS * n, ~np.uint64(0))
     for at in range(0, len(hashes), 256):
         np.minimum(least, (hashes[at : at + 256, None] * factors[0] + factors[1]).min(axis=0), out=least)
-    keys = [xxhash.xxh64_intdigest(least[j * MIN_ROWS : (j + 1) * MIN_ROWS].tobytes(), j) for j in range(MIN_BANDS)]
+    keys = [xxhash.xxh64_intdigest(least[j * MIN_ROWS : (j + 1) * MIN_ROWS].tobytes(), j) for j in range(n)]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
@@ -287,6 +292,17 @@ def similar_in_group(loose: np.ndarray, sets: list[np.ndarray], similarity: floa
     return a, b
 
 
+def indexed_pairs(codes: DataFrame, k: int, cell: int = CELL) -> DataFrame:
+    """(src, dst): of (code, fp), the pairs that the Gray-order index links at k bits, forests as `links`, and every code with the smallest one of its fingerprint."""
+    same = F.lit(0).cast("long")
+    heads = cut(codes.groupBy("fp").agg(F.min("code").alias("head")))
+    head = lambda of, name: heads.select(F.col("fp").bitwiseXOR(same).alias(of), F.col("head").alias(name))
+    equal = codes.join(head("_fp", "src"), F.col("fp") == F.col("_fp")).where("code <> src").select("src", F.col("code").alias("dst"))
+    found = cut(links(heads.select("fp"), k, cell))
+    apart = found.select(F.col("src").alias("_a"), F.col("dst").alias("_b")).join(head("_x", "src"), F.col("_a") == F.col("_x")).join(head("_y", "dst"), F.col("_b") == F.col("_y"))
+    return equal.unionByName(apart.select("src", "dst")).distinct()
+
+
 def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose shingle sets have the similarity."""
     code = F.col("code").bitwiseXOR(F.lit(0).cast("long"))
@@ -304,19 +320,19 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def similar_classes(docs: DataFrame, first: list[Column], *, text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, first: list[Column], *, text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, k: int = K, bands: int = MIN_BANDS, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): `docs` as written, a `row` number and the columns as `doc`; and for each row its `key`, its order (`first`, then its number), and `least`, the smallest key of its class.
 
     Rows are linked when their sets of word shingles have the Jaccard similarity, by exact comparison; classes are what links lead to. Equal
-    sets are one code. Codes are compared when they share one of MIN_BANDS bands of MIN_ROWS minima of permuted hashes: `band_recall` is
-    0.9999 at 0.8. A bucket's codes are compared with its smallest code first, which joins groups of near copies by rows in proportion to
+    sets are one code. Codes are compared when the Gray-order index links their fingerprints at k bits, or share one, and, as 64 bits tell only
+    near copies, when they share one of `bands` bands of MIN_ROWS minima of permuted hashes: `band_recall` is 0.9999 at 0.8. A bucket's codes are compared with its smallest code first, which joins groups of near copies by rows in proportion to
     their size; codes that aren't alike to it are then compared with every code of the bucket, large buckets in cells.
 
-    Texts move once, those that share a band with another, to be cut into shingles; Python workers get `ROWS_AT_ONCE` rows at a time.
+    Texts move once, those that are compared with another, to be cut into shingles; Python workers get `ROWS_AT_ONCE` rows at a time.
     """
     spark = docs.sparkSession
     rng = np.random.default_rng(seed)
-    factors = rng.integers(0, 1 << 63, (2, MIN_ROWS * MIN_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = rng.integers(0, 1 << 63, (2, MIN_ROWS * bands), np.uint64) * np.uint64(2) + np.uint64(1)
     same = F.lit(0).cast("long")
     # written once, so a row's number is fixed
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*first).alias("first"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
@@ -326,14 +342,16 @@ def similar_classes(docs: DataFrame, first: list[Column], *, text: str = "text",
         import xxhash
 
         for batch in batches:
-            codes, bands = [], []
+            codes, fps, keys = [], [], []
             for t in batch.column(2):
                 own = shingles_of(t.as_py(), shingle, seed)
                 codes.append(xxhash.xxh64_intdigest(own.tobytes()))
-                bands.append(min_bands(own, factors))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["row", "first", "code", "bands"])
+                fps.append(majority(own))
+                keys.append(min_bands(own, factors))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (codes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(keys, pa.list_(pa.int64()))], ["row", "first", "code", "fp", "bands"])
 
-    kind = StructType([*plain.drop("text").schema.fields, StructField("code", LongType()), StructField("bands", ArrayType(LongType()))])
+    kind = StructType([*plain.drop("text").schema.fields, StructField("code", LongType()), StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,15 +378,17 @@ def similar_classes(docs: DataFrame, first: list[Column], *, text: str = "text",
 
     with arrow_rows(spark, ROWS_AT_ONCE):
         keyed = cut(plain.mapInArrow(prints, kind).withColumn("key", F.struct("first", "row")).drop("first"))
-        codes = cut(keyed.groupBy("code").agg(F.min("row").alias("row"), F.min("key").alias("key"), F.any_value("bands").alias("bands")))
+        codes = cut(keyed.groupBy("code").agg(F.min("row").alias("row"), F.min("key").alias("key"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+        near = cut(indexed_pairs(codes.select("code", "fp"), k, cell))
         banded = codes.select("code", F.posexplode("bands").alias("j", "v")).select("code", F.xxhash64("j", "v").alias("band"))
         shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("centre")).where("n > 1")
         met = cut(banded.join(shared.withColumn("band", F.col("band").bitwiseXOR(same)), "band"))
 
-        used = cut(met.select("code").distinct().join(codes.select("code", "row"), "code").select(F.col("row").alias("_used"), "code"))
+        used = cut(met.select("code").union(near.select("src")).union(near.select("dst")).distinct().join(codes.select("code", "row"), "code").select(F.col("row").alias("_used"), "code"))
         texts = plain.select("row", "text").join(bounded(used), F.col("row") == F.col("_used")).select("code", "text")
         sets = stored(texts.mapInArrow(cut_up, "code long, shingles binary"))
         stars = cut(alike_pairs(met.where("code <> centre").select(F.col("centre").alias("src"), F.col("code").alias("dst")).distinct(), sets, similarity))
+        copies = cut(alike_pairs(near, sets, similarity))
         linked = stars.select(F.col("src").alias("centre"), F.col("dst").alias("code"), F.lit(True).alias("linked"))
         parts = cut(met.join(linked, ["centre", "code"], "left").select("band", "code", "n", (F.col("linked").isNull() & (F.col("code") != F.col("centre"))).alias("loose")))
         # of buckets with the same codes one is enough, and in a bucket of two the centre's pair is all
@@ -380,7 +400,7 @@ def similar_classes(docs: DataFrame, first: list[Column], *, text: str = "text",
         left = small.unionByName(in_cells(left.where(F.col("n") > cell), cell).select("key", "fp", "loose"))
         left = left.join(sets.select(F.col("code").bitwiseXOR(same).alias("fp"), "shingles"), "fp")
         left = left.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").select("key", "fp", "loose", "shingles")
-        linked = cut(stars.unionByName(left.mapInArrow(compared, "src long, dst long")))
+        linked = cut(copies.unionByName(stars).unionByName(left.mapInArrow(compared, "src long, dst long")))
     parts = cut(connected_components(linked))
     classes = codes.join(parts, codes.code == parts.node, "left").select("code", "key", F.coalesce("component", "code").alias("root"))
     least = classes.groupBy("root").agg(F.min("key").alias("least")).withColumn("root", F.col("root").bitwiseXOR(same))
@@ -395,8 +415,8 @@ def deduplicated(docs: DataFrame, first: list[Column], **how) -> DataFrame:
     return rows.join(bounded(kept), F.col("row") == F.col("_kept")).select("doc.*")
 
 
-def similar_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, cell: int = CELL) -> DataFrame:
+def similar_documents(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle: int = 5, seed: int = SEED, k: int = K, bands: int = MIN_BANDS, cell: int = CELL) -> DataFrame:
     """(id, component_id) at a Jaccard similarity of word shingles that 64 bits can't tell apart: a row a row, the smallest id of its class."""
     order = [F.col(doc).isNull().alias("none"), F.col(doc).alias("id")]
-    _, classes = similar_classes(docs.select(doc, text), order, text=text, similarity=similarity, shingle=shingle, seed=seed, cell=cell)
+    _, classes = similar_classes(docs.select(doc, text), order, text=text, similarity=similarity, shingle=shingle, seed=seed, k=k, bands=bands, cell=cell)
     return classes.select(F.col("key.first.id").alias("id"), F.col("least.first.id").alias("component_id"))
