@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.plans.ordering import even_buckets, running, unit_hash
-from strataline.session import cut
+from strataline.session import arrow_rows, cut, trimmed
 
 WINDOW, MAX_SLACK = 1024, 8
 END_ID = 0
+#: Texts that a Python worker gets at once.
+ROWS_AT_ONCE = 500
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -79,6 +81,7 @@ def tokenised(docs: DataFrame, doc: str, text: str, window: int, paths: tuple[st
     kind = docs.schema[doc].dataType.simpleString()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         encode = encoder(*paths)
         end = np.array([END_ID], dtype=np.uint32)
         for batch in batches:
@@ -90,6 +93,8 @@ def tokenised(docs: DataFrame, doc: str, text: str, window: int, paths: tuple[st
                 crcs.append([zlib.crc32(raw[4 * window * k : 4 * window * (k + 1)]) for k in range(full)])
                 tails.append(ids[full * window :].astype("<u2" if len(ids) and ids.max() < 65536 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "doc_tokens", "full_crcs", "tail"])
+        del encode
+        trimmed()
 
     return docs.select(doc, text).mapInArrow(cut_up, f"doc_id {kind}, doc_tokens long, full_crcs array<long>, tail binary")
 
@@ -168,7 +173,8 @@ def plan_bins(histogram: dict[int, int], window: int = WINDOW, max_slack: int =
 def packed(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", window: int = WINDOW, max_slack: int = MAX_SLACK, tokenizer: tuple[str, str | None] | None = None, with_ids: bool = False) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with `with_ids` the tails' ids too."""
     spark = docs.sparkSession
-    rows = cut(tokenised(docs, doc, text, window, tokenizer or default_tokenizer()))
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        rows = cut(tokenised(docs, doc, text, window, tokenizer or default_tokenizer()))
     n = rows.count()
     slim = rows.withColumns({"tail_length": F.col("doc_tokens") % window, "n_full": F.size("full_crcs").cast("long"), "unit": unit_hash(F.col("doc_id"), F.lit("pack"))})
     slim = slim.withColumn("bucket", even_buckets(F.col("unit"), n)).withColumn("tail_crc", F.crc32("tail"))

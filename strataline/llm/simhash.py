@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from strataline.plans.components import connected_components
-from strataline.session import arrow_rows, bounded, cut, stored
+from strataline.session import arrow_rows, bounded, cut, stored, trimmed
 
 BITS, K, SHINGLE, SEED = 64, 4, 4, 42
 CELL, FAN, LEVELS, TREE_ROWS = 1024, 8, 3, 1 << 15
@@ -350,12 +350,14 @@ def similar_classes(docs: DataFrame, first: list[Column], *, text: str = "text",
                 keys.append(min_bands(own, factors))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (codes, fps)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(keys, pa.list_(pa.int64()))], ["row", "first", "code", "fp", "bands"])
+        trimmed()
 
     kind = StructType([*plain.drop("text").schema.fields, StructField("code", LongType()), StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles_of(t.as_py(), shingle, seed).tobytes() for t in batch.column(1)], pa.binary())], ["code", "shingles"])
+        trimmed()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(group: list) -> pa.RecordBatch:
@@ -375,6 +377,7 @@ def similar_classes(docs: DataFrame, first: list[Column], *, text: str = "text",
                 group.append((fp.as_py(), loose.as_py(), own.as_py()))
         if group:
             yield solve(group)
+        trimmed()
 
     with arrow_rows(spark, ROWS_AT_ONCE):
         keyed = cut(plain.mapInArrow(prints, kind).withColumn("key", F.struct("first", "row")).drop("first"))
