@@ -227,6 +227,39 @@ def test_bm25_counts_beyond_16_bits(spark):
     assert got[1] == pytest.approx(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf / average)), abs=1e-8)
 
 
+def test_bm25_floors_and_close_scores(monkeypatch):
+    """Documents below a query's floor are left out, those at it stay, and scores closer than single precision tells apart are in their exact order."""
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 16)
+    rng = np.random.default_rng(2)
+    corpus = [[f"v{int(x)}".encode() for x in rng.integers(0, 40, 30)] for _ in range(64)]
+    shard, h = bm25.Builder(), sorted(xxhash.xxh64_intdigest(f"v{k}".encode()) for k in range(40))
+    for i, own in enumerate(corpus):
+        shard.add(i, own)
+    unpacked, weights = bm25.Shard(shard.packed().to_struct_array()[0], 30.0), 5 + 1e-9 * rng.permutation(40) * 100
+    counts = [collections.Counter(xxhash.xxh64_intdigest(w) for w in own) for own in corpus]
+    want = sorted((-round(sum(v * tf[x] * 2.2 / (tf[x] + 1.2) for x, v in zip(h, weights, strict=True) if tf[x]), 9), i) for i, tf in enumerate(counts))
+    hashes, asked = np.array(h, np.uint64), (np.array([0]), np.array([40]))
+    ((_, docs, scores),) = unpacked.top(*asked, hashes, weights, 20)
+    assert len({np.float32(x) for x, _ in want[:20]}) < len({x for x, _ in want[:20]}) and unpacked.ids[docs].tolist() == [i for _, i in want[:20]]
+    ((_, docs, scores),) = unpacked.top(*asked, hashes, weights, 20, floors=np.array([-want[4][0]]))
+    assert scores.min() >= -want[4][0] * (1 - 1e-4) and 5 <= len(docs) < 20 and unpacked.ids[docs[:5]].tolist() == [i for _, i in want[:5]]
+    assert list(unpacked.top(*asked, hashes, weights, 20, floors=np.array([1e6]))) == []
+
+
+def test_bm25_waves_lose_nothing(spark, monkeypatch):
+    """Searched in many waves with several blocks of queries, or all at once: the same rows."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{min(200, int(x))}" for x in rng.zipf(1.3, int(rng.integers(1, 50)))) for _ in range(160)]
+    docs = spark.createDataFrame([*enumerate(texts), *((500 + i, t) for i, t in enumerate(texts[:30]))], "doc_id long, text string")
+    once = bm25.search(docs.coalesce(1), docs).orderBy("query_id", "place").collect()
+    monkeypatch.setattr(bm25, "FIRST", 1)
+    monkeypatch.setattr(bm25, "WAVE", 2.0)
+    monkeypatch.setattr(bm25, "BLOCKS_AT_ONCE", 2)
+    waves = bm25.search(docs.repartition(9), docs, shard_docs=8, query_block=70).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.doc_id, r.place) for r in waves] == [(r.query_id, r.doc_id, r.place) for r in once]
+    assert [r.score for r in waves] == pytest.approx([r.score for r in once], abs=2e-9)
+
+
 # ---- chat ------------------------------------------------------------------------------------------------------------------------
 
 
