@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import text as T
+from strataline.session import cut
 
 # ---- joins -----------------------------------------------------------------------------------------------------------------------
 
@@ -178,10 +179,23 @@ def hit_class(n_truncation: Column, c_truncation: Column, has_gaps: Column, gap_
     return F.when(n_truncation >= 0.15, by_coverage("NTC")).when(c_truncation >= 0.15, by_coverage("CTC")).when(has_gaps, gaps).when(coverage < 0.7, by_coverage("LC")).otherwise(r("r1", "OK"))
 
 
-def burial(distances: DataFrame, key: str, distance: str, core: float = -3.0, margin: float = -2.0) -> DataFrame:
-    """(key, burial, mean): core -1, margin 0 or exposed 1 from a vertex's signed distances to the surface. The least distance is that without signs; it stands for the mean where it decides. A missing distance is not below the core."""
+def burial(distances: DataFrame, key: str, distance: str, core: float = -3.0, margin: float = -2.0, order: Sequence[str] = ()) -> DataFrame:
+    """(key, burial, mean): core -1, margin 0 or exposed 1 from a vertex's signed distances to the surface. The least distance is that without signs; it stands for the mean where it decides. A missing distance is not below the core.
+
+    A sum of doubles hangs on the order of its terms. With `order`, columns that tell all rows of a key apart, a mean within rounding of a bound is that of the rows summed in this order; no other mean's side of a bound can change.
+    """
     d = F.col(distance)
-    agg = distances.groupBy(key).agg(F.avg(d).alias("mean"), F.min(F.abs(d)).alias("lo"), (F.max(d) - F.min(d)).alias("spread"), F.avg(F.when(d < core, 1).otherwise(0)).alias("below"))
+    agg = distances.groupBy(key).agg(
+        F.avg(d).alias("mean"), F.min(F.abs(d)).alias("lo"), (F.max(d) - F.min(d)).alias("spread"), F.avg(F.when(d < core, 1).otherwise(0)).alias("below"), F.count(d).alias("n"), F.max(F.abs(d)).alias("most")
+    )
+    if order:
+        error = (F.col("n") + 2) * F.col("most") * 2.0**-51  # two orders of n terms differ by less: each sum is off by n units of 2 ** -53 of n times the greatest at most
+        close = F.least(*[F.abs(F.col("mean") - bound) for bound in (core, margin, 0.0)]) <= error
+        known = cut(agg)
+        rows = distances.join(known.where(close).select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi").where(d.isNotNull())
+        so_far = F.sum(d).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        sums = rows.select(key, *order, so_far.alias("_sum")).groupBy(F.col(key).alias("_key")).agg(F.max_by("_sum", F.struct(*order)).alias("_sum"))
+        agg = known.join(sums, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("mean", F.coalesce(F.col("_sum") / F.col("n"), "mean"))
     deep = F.when(F.col("below") > 0.6, -1).when(F.col("spread") > 5.0, 1).otherwise(-1)
     near = F.when((F.col("mean") < 0) | (F.col("lo") <= margin), 0).otherwise(1)
     by_least = (F.col("mean") > margin) & (F.col("mean") > core) & (F.col("lo") <= margin)

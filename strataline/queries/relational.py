@@ -133,8 +133,9 @@ def cls01_hit_ladder(spark, d):
 @query("""WITH s AS (SELECT l_partkey AS v, l_quantity / 5 - 8 AS d FROM lineitem), a AS (SELECT v, avg(d) AS mean, min(abs(d)) AS lo, max(d) - min(d) AS spread, avg(CASE WHEN d < -3 THEN 1 ELSE 0 END) AS below FROM s GROUP BY v)
 SELECT v, CASE WHEN mean <= -3 THEN CASE WHEN below > 0.6 THEN -1 WHEN spread > 5 THEN 1 ELSE -1 END WHEN mean <= -2 THEN CASE WHEN mean < 0 OR lo <= -2 THEN 0 ELSE 1 END WHEN lo <= -2 THEN 0 ELSE 1 END AS burial FROM a""")
 def cls04_geo07_burial(spark, d):
-    s = t(spark, d, "lineitem").select(F.col("l_partkey").alias("v"), (F.col("l_quantity") / 5 - 8).alias("d"))
-    return O.burial(s, "v", "d").select("v", "burial")
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]  # the order in which one thread reads the rows
+    s = t(spark, d, "lineitem").select(F.col("l_partkey").alias("v"), (F.col("l_quantity") / 5 - 8).alias("d"), *at)
+    return O.burial(s, "v", "d", order=["file", "row"]).select("v", "burial")
 
 
 # ---- dedup and sets --------------------------------------------------------------------------------------------------------------
